@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeloom.llm import minhash
+from lakeloom.llm import decontam, lines, minhash, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +18,47 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lines.digests(docs, lines.keep_bitmaps(spark, docs, min_docs=10))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(spark, docs, toxicity.train(spark, docs, _table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contained_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op4_lines": op4_lines,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontam": op8_decontam,
 }
 
 #: a document's words, as op2 takes them
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
+#: and as op8 does
+_PLAIN = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
@@ -38,4 +73,21 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
 FROM documents d JOIN k ON k.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op4_lines": r"""
+WITH l AS (SELECT doc_id, pos, line, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS k
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+bad AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT l.doc_id, count(*) AS n_lines, count(bad.k) AS n_dropped,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE bad.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN bad ON bad.k = l.k GROUP BY l.doc_id""",
+    "op8_decontam": rf"""
+WITH w AS (SELECT true AS item, item_id AS id, {_PLAIN} AS ws FROM benchmark UNION ALL SELECT false, doc_id, {_PLAIN} FROM documents),
+s AS (
+  SELECT DISTINCT item, id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT item, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+),
+n AS (SELECT id, count(*) AS n_item FROM s WHERE item GROUP BY id),
+p AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM s b JOIN s d ON d.g = b.g AND b.item AND NOT d.item GROUP BY 1, 2)
+SELECT p.doc_id, p.item_id, n.n_item, p.n_shared, p.n_shared / n.n_item AS containment
+FROM p JOIN n ON n.id = p.item_id WHERE 100 * p.n_shared >= 80 * n.n_item""",
 }

@@ -80,6 +80,29 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int, whole_if_short: bool
     return out
 
 
+def running_shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all texts in order, repeats included, and the text of each (ascending)."""
+    n = len(words)
+    full = np.zeros(max(0, n - k + 1), np.uint64)
+    for j in range(k):
+        full = mix(full + words[j : n - k + 1 + j] * _STEP[j] + _STEP[j + 1]) if len(full) else full
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    inside = owner[: len(full)] == owner[k - 1 : k - 1 + len(full)]
+    parts, texts = [full[inside]], [owner[: len(full)][inside]]
+    for t in np.flatnonzero((size > 0) & (size < k)).tolist():
+        h = np.zeros(1, np.uint64)
+        for j in range(int(size[t])):
+            h = mix(h + words[first[t] + j : first[t] + j + 1] * _STEP[j] + _STEP[j + 1])
+        parts.append(mix(h + U(int(size[t]))))
+        texts.append(np.array([t]))
+    full, owner = np.concatenate(parts), np.concatenate(texts)
+    if len(parts) > 1:
+        by = np.argsort(owner, kind="stable")
+        full, owner = full[by], owner[by]
+    return full, owner
+
+
 def set_digest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums that together identify a set of hashes."""
     one = np.array([mix(s + _STEP[8]).sum(dtype=np.uint64) for s in sets], np.uint64)
