@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontam, lines, minhash, packing, toxicity
+from lakeloom.llm import decontam, lattice, lines, minhash, packing, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,19 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=4)
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lines.digests(docs, lines.keep_bitmaps(spark, docs, min_docs=10))
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -47,7 +55,9 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op3_suffix": op3_suffix,
     "op4_lines": op4_lines,
+    "op5_lattice": op5_lattice,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_decontam": op8_decontam,
@@ -90,4 +100,13 @@ n AS (SELECT id, count(*) AS n_item FROM s WHERE item GROUP BY id),
 p AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM s b JOIN s d ON d.g = b.g AND b.item AND NOT d.item GROUP BY 1, 2)
 SELECT p.doc_id, p.item_id, n.n_item, p.n_shared, p.n_shared / n.n_item AS containment
 FROM p JOIN n ON n.id = p.item_id WHERE 100 * p.n_shared >= 80 * n.n_item""",
+    "op5_lattice": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL
+  AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT k.a AS vec_id, coalesce(n.n_links, 0) AS n_links, k.component_id, k.a = k.component_id AS kept FROM k LEFT JOIN n ON n.a = k.a""",
 }
