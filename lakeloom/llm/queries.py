@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontam, lattice, lines, minhash, packing, suffix, toxicity
+from lakeloom.llm import decontam, htmlblocks, langid, lattice, license, lines, minhash, packing, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (its source in place of a host) and every page."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), none.alias("html"), none.alias("url"), F.col("source").alias("host"))
+    rows = rows.unionByName(pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), none.alias("text"), "html", "url", none.alias("host")))
+    found = langid.identify(spark, rows, langid.train(docs))
+    number = F.expr("cast(substr(key, 2) AS bigint)")
+    return found.select(F.when(F.col("key").startswith("d"), number).alias("doc_id"), F.when(F.col("key").startswith("p"), number).alias("page_id"), "lang", "confidence", "declared", "host")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=4)
 
@@ -53,7 +64,17 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(_table(spark, sf_dir, "documents"), license.known_digests(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlblocks.extract(spark, _table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_minhash": op2_minhash,
     "op3_suffix": op3_suffix,
     "op4_lines": op4_lines,
@@ -61,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_decontam": op8_decontam,
+    "op9_license": op9_license,
+    "op10_html": op10_html,
 }
 
 #: a document's words, as op2 takes them
@@ -69,6 +92,22 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 #: and as op8 does
 _PLAIN = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
+def _canonical_sql(text: str) -> str:
+    x = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    x = f"regexp_replace({x}, '{license.COPYRIGHT.replace('(?md)', '(?m)')}', ' ', 'g')"
+    x = rf"' ' || trim(regexp_replace({x}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) || ' '"
+    for a, b in license.SPELLINGS:
+        x = f"replace({x}, ' {a} ', ' {b} ')"
+    return f"trim({x})"
+
+
+def _known_sql() -> str:
+    from lakeloom.llm.license_texts import NOTICES, TEXTS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(k.split('#')[0])}, {quoted(v)}, {whole})" for table, whole in ((TEXTS, "true"), (NOTICES, "false")) for k, v in table.items())
+
+
 ORACLE: dict[str, str] = {
     "op2_minhash": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
@@ -109,4 +148,12 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT k.a AS vec_id, coalesce(n.n_links, 0) AS n_links, k.component_id, k.a = k.component_id AS kept FROM k LEFT JOIN n ON n.a = k.a""",
+    "op9_license": rf"""
+WITH k AS (SELECT sha256({_canonical_sql("text")}) AS digest, whole, min(license) AS license FROM (VALUES {_known_sql()}) v(license, text, whole) GROUP BY 1, 2),
+d AS (SELECT doc_id, text, {_canonical_sql("text")} AS c FROM documents),
+g AS (SELECT doc_id, text, CASE WHEN length(c) > 0 THEN sha256(c) END AS digest FROM d),
+l AS (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+n AS (SELECT l.doc_id, array_to_string(list_sort(list_distinct(list(k.license))), ',') AS notices, count(*) AS n_lines FROM l JOIN k ON k.digest = l.digest AND NOT k.whole GROUP BY 1)
+SELECT g.doc_id, g.digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_lines, 0) AS n_lines
+FROM g LEFT JOIN k ON k.digest = g.digest AND k.whole LEFT JOIN n ON n.doc_id = g.doc_id""",
 }
