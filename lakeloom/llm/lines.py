@@ -161,7 +161,9 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_docs: int = 10, keep:
                 ["doc_id", "t", "n_lines", "n_dropped", "keep"],
             )
 
-    return ws.save(lost.mapInArrow(bits, "doc_id long, t long, n_lines long, n_dropped long, keep binary"), "bitmaps")
+    out = ws.save(lost.mapInArrow(bits, "doc_id long, t long, n_lines long, n_dropped long, keep binary"), "bitmaps")
+    ws.drop("lines", "found")
+    return out
 
 
 def kept_text(text: str | None, n: int | None, keep: bytes | None) -> str:
