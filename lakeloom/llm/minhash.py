@@ -62,7 +62,7 @@ def _set_table(docs: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 12, width: int = 2, rounds: int = 6
+    spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 12, width: int = 2, rounds: int = 3, small: int = 32, block: int = 200_000
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -102,36 +102,47 @@ def near_duplicates(
         return ws.save(links, name)
 
     near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    links, label, seen = None, None, None
-    for k in range(rounds + 1):
-        at = member.withColumn("comp", F.col("rep")) if label is None else member.join(label, member.rep == label.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        by = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n")).alias("r"))
-        # the centre of a round: a member of the largest component first, later one of those outside it
-        top = by.groupBy("bucket").agg(
-            F.max(F.struct("c", F.col("comp").alias("comp"))).alias("top"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("comps"),
-        ).where("comps > 1").select("bucket", F.col("top.comp").alias("main"), F.expr("(total - top.c) * total").alias("work"), "total")
-        top = ws.save(top, f"top{k}")
-        todo = top.agg(F.sum("work"), F.sum("total")).first()
-        if not todo[0]:
-            break
-        last = k == rounds or todo[0] <= 16 * todo[1]
-        a = at.join(top.select("bucket", "main"), "bucket")
-        if last:
-            one = a.where("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        else:
-            pick = a.groupBy("bucket").agg(F.min(F.struct((F.col("comp") == F.col("main")) if k else F.lit(False), F.xxhash64("rep", F.lit(0 if k == 0 else k)), "rep", "n", "comp")).alias("r"))
-            one = pick.select("bucket", F.col("r.rep").alias("a"), F.col("r.n").alias("na"), F.col("r.comp").alias("ca"))
-        pairs = a.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(one, "bucket").where("ca <> cb").where(near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = ws.save(pairs, f"pairs{k}")
-        found = verified(pairs, f"links{k}")
-        seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
-        links = found if links is None else links.unionByName(found)
+
+    def tidy(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(near)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb")).distinct()
+
+    # buckets of a few members: every pair; larger ones: every member with one centre
+    sized = member.join(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket")
+    few = sized.where(F.col("c") <= small).drop("c")
+    x = few.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"))
+    y = few.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    pairs = tidy(x.join(y, "bucket").where("a < b"))
+    big = ws.save(sized.where(F.col("c") > small).select("bucket", "rep", "n", F.col("rep").alias("comp")), "big0")
+    links, label, work = None, None, big.count()
+    for k in range(rounds):
+        # a centre in every bucket that is not yet of one component: first by a hash of all, then from outside the largest
+        open_ = big.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "n")).alias("r"))
+        open_ = open_.groupBy("bucket").agg(F.max(F.struct("c", "comp", "r")).alias("top"), F.min(F.struct("c", "r.h", "comp", "r")).alias("low"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("comps"))
+        centre = open_.where("comps > 1").select("bucket", F.col("low.r.rep").alias("a"), F.col("low.r.n").alias("na"), F.col("low.comp").alias("ca"))
+        star = big.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(centre, "bucket").where("ca <> cb")
+        star = tidy(star.select("a", "b", "na", "nb"))
+        links_k = verified(ws.save(pairs.unionByName(star).distinct() if k == 0 else star, f"pairs{k}"), f"links{k}")
+        links = links_k if links is None else links.unionByName(links_k)
         label = ws.save(components(ws, links, f"cc{k}_"), f"label{k}")
-        if last:
+        big, was = _still_open(ws, big, label, f"big{k + 1}"), work
+        work = big.count()
+        if not work or 2 * work > was:
             break
+    if work:
+        # what is left: buckets of several components; their members, in blocks, against each other
+        nodes = big.select("rep", "n", "comp").distinct()
+        group = components(ws, big.groupBy("bucket").agg(F.min("rep").alias("a")).join(big, "bucket").select("a", F.col("rep").alias("b")).distinct(), "grp")
+        nodes = nodes.join(group, nodes.rep == group.node).select("rep", "n", "comp", F.col("component").alias("grp"))
+        nodes = nodes.join(nodes.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb")), "grp")
+        nodes = nodes.join(reps.select("rep", "keys"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+        mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+        each = nodes.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        each = each.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "keys", "set")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        each = each.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        links = links.unionByName(ws.save(each.mapInArrow(_blocks(percent), "a long, b long"), "blocklinks"))
+        label = ws.save(components(ws, links, "last_"), "label")
     ws.drop("sets", "member")
     comp = reps.select("s1", "s2", "n", "rep")
     if label is not None:
@@ -142,5 +153,85 @@ def near_duplicates(
     return ws.finish(out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
 
 
+def _still_open(ws: Workspace, big: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """``big`` with components from ``label``, without the buckets that are of one component by now."""
+    new = big.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    new = ws.save(new, f"{name}all")
+    several = new.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    return ws.save(new.join(several, "bucket", "left_semi"), name)
+
+
+def _blocks(percent: int):
+    """Rows sorted by (grp, i, j): members of two blocks of a group. Yields links that join components, a spanning few.
+
+    A pair is looked at if two of its collections agree and its components differ. Sets become rows of bits over the
+    shingles that the block's members share.
+    """
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j = rows[0][1], rows[0][2]
+        left = [r for r in rows if r[3] == i]
+        right = left if i == j else [r for r in rows if r[3] == j]
+        if not left or not right:
+            return []
+        both = left if i == j else left + right
+        full = np.concatenate([np.asarray(r[8]) for r in both])
+        values, number, count = np.unique(full, return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        size = np.fromiter((len(r[8]) for r in both), np.int64, len(both))
+        owner = np.repeat(np.arange(len(both)), size)
+        use = count[number] > 1
+        bits = np.zeros((len(both), int((count > 1).sum()) // 64 + 1), np.uint64)
+        col = column[number[use]]
+        np.bitwise_or.at(bits, (owner[use], col // 64), np.uint64(1) << (col % 64).astype(np.uint64))
+        keys = np.array([r[7] for r in both], np.int64)
+        n, comp = np.array([r[5] for r in both]), np.array([r[6] for r in both])
+        at = 0 if i == j else len(left)
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x in range(len(left)):
+            lo = x + 1 if i == j else at
+            same = (keys[lo:] == keys[x]).sum(axis=1)
+            fits = (same >= 2) & (comp[lo:] != comp[x]) & (100 * np.minimum(n[lo:], n[x]) >= percent * np.maximum(n[lo:], n[x]))
+            ys = np.flatnonzero(fits) + lo
+            if not len(ys):
+                continue
+            shared = np.bitwise_count(bits[ys] & bits[x]).sum(axis=1, dtype=np.int64)
+            for y in ys[100 * shared >= percent * (n[ys] + n[x] - shared)].tolist():
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    parent[p] = q
+                    out.append((both[x][4], both[y][4]))
+        return out
+
+    def run(it):
+        held, key = [], None
+        for b in it:
+            names = ("grp", "i", "j", "own", "rep", "n", "comp")
+            plain = [b.column(c).to_pylist() for c in names]
+            keys, sets = b.column("keys"), b.column("set")
+            for r, row in enumerate(zip(*plain)):
+                if row[:3] != key:
+                    if held:
+                        yield _edges(links(held))
+                    held, key = [], row[:3]
+                held.append((*row, keys[r].values.to_numpy(), sets[r].values.to_numpy()))
+        if held:
+            yield _edges(links(held))
+
+    return run
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+
 def _repeats(signs: DataFrame) -> bool:
     return not signs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
