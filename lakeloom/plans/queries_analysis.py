@@ -1 +1,244 @@
+"""Metadata, lineage, validation and presentation of queries, as DataFrames with known rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.plans import lineage as lin
+from lakeloom.plans import metadata as meta
+from lakeloom.plans import report, validate
+from lakeloom.plans.registry import register
+from lakeloom.sources import catalog
+from lakeloom.sources.tables import use_folder
+
+JOINED = """SELECT u.id, -- user id
+  o.amount AS paid, upper(u.name) AS big, count(DISTINCT o.order_id) AS n
+FROM ods.user_table u LEFT JOIN ods.order_table o ON u.id = o.user_id AND o.amount > 10
+WHERE u.age > 18 AND u.name LIKE 'a%' GROUP BY u.id, o.amount, upper(u.name) HAVING count(*) > 1
+ORDER BY u.id DESC NULLS LAST LIMIT 10, 5"""
+NESTED = "WITH t AS (SELECT user_id AS k, sum(amount) AS total FROM ods.order_table GROUP BY user_id) SELECT s.nick, t.total + 1 AS more, row_number() OVER w AS rn FROM (SELECT id, concat(name, email) AS nick FROM ods.user_table) s JOIN t ON t.k = s.id WINDOW w AS (PARTITION BY s.nick ORDER BY t.total DESC)"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({names})"
+
+
+def _section(name: str, section: str, sql: str, columns: list[str], rows: list[tuple], names: str) -> None:
+    """A query that gives some columns of a section of a text's metadata (lists joined by commas), and its known rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = meta.extract(spark, sql).frames(spark)[section]
+        kinds = dict(df.dtypes)
+        return df.select(*(F.array_join(c, ",").alias(c) if kinds[c] == "array<string>" else F.col(c) for c in columns))
+
+    register(name, _values(rows, names))(run)
+
+
+_section("mtd_02_tables", "tables", JOINED, ["qualified_name", "alias", "kind"], [("ods.user_table", "u", "table"), ("ods.order_table", "o", "table")], "qualified_name, alias, kind")
+_section("mtd_03_subquery_tables", "tables", NESTED, ["scope", "qualified_name", "kind"], [("", "s", "subquery"), ("s", "ods.user_table", "table"), ("", "t", "table"), ("t", "ods.order_table", "table")], "scope, qualified_name, kind")
+_section("mtd_05_fields_by_scope", "fields", NESTED, ["scope", "ordinal", "alias", "category"], [("t", 0, "k", "DIRECT"), ("t", 1, "total", "AGGREGATE"), ("", 0, None, "DIRECT"), ("", 1, "more", "EXPRESSION"), ("", 2, "rn", "EXPRESSION"), ("s", 0, None, "DIRECT"), ("s", 1, "nick", "EXPRESSION")], "scope, ordinal, alias, category")
+_section("mtd_06_joins", "joins", JOINED, ["left", "right", "join_type", "condition"], [("u", "o", "LEFT", "u.id = o.user_id AND o.amount > 10")], '"left", "right", join_type, condition')
+_section("jon_18_join_record", "joins", "SELECT 1 FROM a JOIN b ON a.x = b.y JOIN c USING (id, name)", ["left", "right", "join_type", "using"], [("a", "b", "INNER", ""), ("b", "c", "INNER", "id,name")], '"left", "right", join_type, "using"')
+_section("mtd_07_field_categories", "fields", JOINED, ["alias", "expression", "category"], [(None, "u.id", "DIRECT"), ("paid", "o.amount", "DIRECT"), ("big", "upper(u.name)", "EXPRESSION"), ("n", "count(DISTINCT o.order_id)", "AGGREGATE")], "alias, expression, category")
+_section("mtd_08_columns", "fields", "SELECT a.x + b.y AS s, CASE WHEN c > 1 THEN d ELSE e END AS k, CAST(f AS INT) AS g FROM a, b", ["alias", "columns"], [("s", "a.x,b.y"), ("k", "c,d,e"), ("g", "f")], "alias, columns")
+_section("mtd_11_conditions", "conditions", JOINED, ["clause", "expression", "columns"], [("WHERE", "u.age > 18 AND u.name LIKE 'a%'", "u.age,u.name"), ("HAVING", "count(*) > 1", "")], "clause, expression, columns")
+_section("mtd_11_order_limit", "orders", JOINED, ["expression", "direction", "nulls"], [("u.id", "DESC", "LAST")], "expression, direction, nulls")
+_section("mtd_11_limit", "limits", "SELECT x FROM t ORDER BY x LIMIT 10, 20 + 5", ["offset", "row_count"], [(10, 25)], '"offset", row_count')
+_section("mtd_12_ctes", "ctes", "WITH a(x, y) AS (SELECT 1, 2), b AS (SELECT * FROM a) SELECT * FROM b", ["name", "columns"], [("a", "x,y"), ("b", "")], "name, columns")
+_section("mtd_12_hints", "hints", "SELECT /*+ MAPJOIN(a, b), SKEWJOIN(c) */ 1 FROM a JOIN b ON a.x = b.x JOIN c ON c.x = a.x", ["name", "arguments"], [("MAPJOIN", "a,b"), ("SKEWJOIN", "c")], "name, arguments")
+_section("mtd_12_lateral_views", "lateral_views", "SELECT k, v FROM a LATERAL VIEW OUTER explode(a.m) t AS k, v", ["function", "table_alias", "column_aliases", "is_outer"], [("explode(a.m)", "t", "k,v", True)], "function, table_alias, column_aliases, is_outer")
+_section("set_09_set_operations", "set_operations", "SELECT x FROM a UNION ALL SELECT x FROM b INTERSECT SELECT x FROM c", ["type", "is_all"], [("UNION", True), ("INTERSECT", False)], "type, is_all")
+_section("mtd_13_windows", "windows", "SELECT sum(x) OVER w FROM t WINDOW w AS (PARTITION BY a, t.b ORDER BY c ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", ["name", "partition_by", "order_by", "frame"], [("w", "a,t.b", "c", "ROWS BETWEEN 1 PRECEDING AND CURRENT ROW")], "name, partition_by, order_by, frame")
+_section("mtd_13_window_functions", "window_functions", NESTED, ["alias", "function", "window_name"], [("rn", "row_number", "w")], "alias, function, window_name")
+_section("mtd_14_functions", "functions", "SELECT concat(upper(a), trim(b)) AS c FROM t WHERE length(a) > 1 GROUP BY substr(a, 1) HAVING sum(x) > 0 ORDER BY abs(y)", ["name", "type", "clause"], [("concat", "STRING", "SELECT"), ("upper", "STRING", "SELECT"), ("trim", "STRING", "SELECT"), ("length", "STRING", "WHERE"), ("substr", "STRING", "GROUP BY"), ("sum", "AGGREGATE", "HAVING"), ("abs", "MATH", "ORDER BY")], "name, type, clause")
+_section("mtd_15_arguments", "functions", "SELECT coalesce(nvl(a, 'x,y'), ')') AS v, if(a > 1, b, c) AS w FROM t", ["name", "arguments", "arg_count"], [("coalesce", "nvl(a, 'x,y'),')'", 2), ("nvl", "a,'x,y'", 2), ("if", "a > 1,b,c", 3)], "name, arguments, arg_count")
+_section("agg_22_aggregate_detection", "functions", "SELECT count(*), sum(a), avg(a), min(a), max(a), group_concat(a), stddev(a), variance(a), collect_list(a), collect_set(a) FROM t", ["type", "is_aggregate"], [("AGGREGATE", True)] * 10, "type, is_aggregate")
+_section("mtd_18_comments", "comments", "SELECT a, -- first\n b -- second\nFROM t -- table\nWHERE a > 1 -- cond\nGROUP BY a, b -- keys\nHAVING count(*) > 1 -- having\nORDER BY a -- order\nLIMIT 5 -- few", ["text", "target_type", "target_name"], [("first", "FIELD", "a"), ("second", "FIELD", "b"), ("table", "TABLE", "t"), ("cond", "WHERE", ""), ("keys", "GROUP_BY", ""), ("having", "HAVING", ""), ("order", "ORDER_BY", ""), ("few", "LIMIT", "")], "text, target_type, target_name")
+_section("mtd_17_comment_places", "comments", "-- head\nSELECT a /* block */ FROM t", ["text", "start", "stop"], [("head", 0, 7), ("block", 17, 28)], "text, start, stop")
+
+
+@register("mtd_01_errors", _values([("SELECT 1", "success"), ("SELECT (a FROM t", "error"), ("  ", "error")], "sql, status"))
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(q, meta.extract(spark, q).status) for q in ("SELECT 1", "SELECT (a FROM t", "  ")], "sql string, status string")
+
+
+@register("mtd_16_function_types", _values([("row_number", "WINDOW"), ("count", "AGGREGATE"), ("upper", "STRING"), ("abs", "MATH"), ("to_date", "DATE_TIME"), ("to_char", "CAST"), ("nvl", "CONDITIONAL"), ("md5", "OTHER")], "name, type"))
+def function_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [("row_number", True), *((n, False) for n in ("count", "upper", "abs", "to_date", "to_char", "nvl", "md5"))]
+    return spark.createDataFrame([(n, meta.function_type(n, w)) for n, w in names], "name string, type string")
+
+
+@register("mtd_20_summary", _values([(9,)], "lines"))
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = report.summary(meta.extract(spark, "SELECT a.x, count(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY a.x"))
+    return spark.createDataFrame([(len(text.split("\n")) + 1,)], "lines int")
+
+
+def _lineage(name: str, sql: str, rows: list[tuple], fixture: bool = True) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not fixture:
+            use_folder(spark, sf_dir)
+        known = catalog.fixture() if fixture else None
+        return lin.lineage(spark, sql, known).edges(spark, known).where("is_final").select("target", "category", "source_table", "source_column")
+
+    register(name, _values(rows, "target, category, source_table, source_column"))(run)
+
+
+_U, _O = "ods.user_table", "ods.order_table"
+_lineage("lin_03_columns", "SELECT u.id, o.amount AS paid FROM ods.user_table u JOIN ods.order_table o ON u.id = o.user_id", [("id", "DIRECT", _U, "id"), ("paid", "DIRECT", _O, "amount")])
+_lineage("lin_04_expressions", "SELECT concat(name, email) AS c, 1 AS one, count(*) AS n FROM ods.user_table GROUP BY name, email", [("c", "EXPRESSION", _U, "name"), ("c", "EXPRESSION", _U, "email"), ("one", "EXPRESSION", None, None), ("n", "AGGREGATE", None, None)])
+_lineage("lin_05_star", "SELECT o.* FROM ods.user_table u JOIN ods.order_table o ON u.id = o.user_id", [(c, "DIRECT", _O, c) for c in ("order_id", "user_id", "amount", "order_date")])
+_lineage("lin_06_unqualified", "SELECT name, amount FROM user_table JOIN order_table ON id = user_id", [("name", "DIRECT", _U, "name"), ("amount", "DIRECT", _O, "amount")])
+_lineage("lin_07_subquery", "SELECT s.i AS x, s.n AS y FROM (SELECT u.id AS i, nvl(o.amount, 0) AS n FROM ods.user_table u LEFT JOIN ods.order_table o ON u.id = o.user_id) s", [("x", "DIRECT", _U, "id"), ("y", "DIRECT", _O, "amount")])
+_lineage("lin_08_final_fields", "SELECT id, id + 1 AS x FROM ods.user_table", [("id", "DIRECT", _U, "id"), ("x", "EXPRESSION", _U, "id")])
+_lineage("lin_07_cte", NESTED, [("nick", "DIRECT", _U, "name"), ("nick", "DIRECT", _U, "email"), ("more", "EXPRESSION", _O, "amount"), ("rn", "EXPRESSION", _U, "name"), ("rn", "EXPRESSION", _U, "email"), ("rn", "EXPRESSION", _O, "amount")])
+_lineage("lin_07_set_operation", "SELECT id AS k FROM ods.user_table UNION SELECT user_id FROM ods.order_table", [("k", "DIRECT", _U, "id"), ("k", "DIRECT", _O, "user_id")])
+_lineage("lin_10_duplicate_names", "SELECT u.id, o.order_id AS id FROM ods.user_table u JOIN ods.order_table o ON u.id = o.user_id", [("id", "DIRECT", _U, "id"), ("id", "DIRECT", _O, "order_id")])
+_lineage("lin_12_session_tables", "WITH s AS (SELECT o_custkey AS k, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT c_name, t FROM customer LEFT JOIN s ON k = c_custkey", [("c_name", "DIRECT", "customer", "c_name"), ("t", "DIRECT", "orders", "o_totalprice")], False)
+
+
+@register("lin_01_tables", _values([(_U,), (_O,)], "name"))
+def lineage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lin.lineage(spark, "SELECT 1 AS one FROM ods.user_table WHERE id IN (SELECT user_id FROM ods.order_table)", catalog.fixture())
+    return spark.createDataFrame([(t,) for t in found.tables], "name string")
+
+
+@register("lin_02_default_database", _values([("user_table", "ods.user_table"), ("ods.user_table", "ods.user_table"), ("nope", None)], "name, resolved"))
+def default_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog.fixture()
+    found = [(n, c.resolve(n)) for n in ("user_table", "ods.user_table", "nope")]
+    return spark.createDataFrame([(n, f"{t.database}.{t.name}" if t else None) for n, t in found], "name string, resolved string")
+
+
+@register("lin_09_steps", _values([("k", "DIRECT", _O, "user_id"), ("total", "AGGREGATE", _O, "amount"), ("nick", "EXPRESSION", _U, "name"), ("nick", "EXPRESSION", _U, "email")], "target, category, source_table, source_column"))
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns inside the query; ``nick`` and the others are not outputs as they stand."""
+    found = lin.lineage(spark, NESTED.replace("s.nick,", "s.nick AS who,"), catalog.fixture())
+    return found.edges(spark).where("NOT is_final AND target IN ('k', 'total', 'nick')").select("target", "category", "source_table", "source_column").distinct()
+
+
+@register("lin_11_tree", _values([("who", "nick", "ods.user_table.email"), ("who", "nick", "ods.user_table.name")], "a, b, c"))
+def lineage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lin.lineage(spark, "SELECT upper(nick) AS who FROM (SELECT concat(name, email) AS nick FROM ods.user_table) s", catalog.fixture())
+    rows = [(a["field"], b["field"], c["field"]) for a in lin.tree(found) for b in a["children"] for c in b["children"]]
+    return spark.createDataFrame(rows, "a string, b string, c string")
+
+
+def _validated(name: str, sql: str, rows: list[tuple]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return validate.validate(spark, sql, _conflicted()).select("type")
+
+    register(name, _values(rows, "type") if rows else "SELECT 'x' AS type WHERE false")(run)
+
+
+def _conflicted() -> catalog.Catalog:
+    c = catalog.ColumnMeta
+    return catalog.Catalog([
+        catalog.TableMeta("ods", "user_table", [c("id", "BIGINT"), c("name", "STRING"), c("project_name", "STRING")]),
+        catalog.TableMeta("ods", "order_table", [c("order_id", "BIGINT"), c("name", "STRING"), c("project_name", "STRING")]),
+    ])
+
+
+_validated("val_01_star_conflict", "SELECT * FROM ods.user_table t1 JOIN ods.order_table t2 ON t1.id = t2.order_id", [("COLUMN_CONFLICT",)])
+_validated("val_01_no_conflict", "SELECT t1.* FROM ods.user_table t1 JOIN ods.order_table t2 ON t1.id = t2.order_id", [])
+_validated("val_02_valid", "SELECT id, name FROM ods.user_table", [])
+_validated("val_03_missing_table", "SELECT id FROM ods.nothing", [("TABLE_NOT_FOUND",)])
+_validated("val_03_missing_column", "SELECT nothing FROM ods.user_table", [("COLUMN_NOT_FOUND",)])
+_validated("val_04_join_types", "SELECT t1.id FROM ods.user_table t1 JOIN ods.order_table t2 ON t1.name = t2.order_id", [("TYPE_MISMATCH",)])
+
+
+@register("val_05_format", _values([("SELECT a, b\nFROM t\n  LEFT JOIN u ON t.k = u.k\nWHERE a > 'from x'\nORDER BY a",)], "text"))
+def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(report.format_sql("select a,b from t left join u on t.k = u.k where a > 'from x' order by a"),)], "text string")
+
+
+@register("prs_01_listing", _values([("tables: ods.user_table",), ("id = id [DIRECT]",), ("  <- ods.user_table.id",)], "line"))
+def console_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lin.lineage(spark, "SELECT id FROM ods.user_table", catalog.fixture())
+    return spark.createDataFrame([(x,) for x in report.listing(found).split("\n")], "line string")
+
+
+@register("prs_02_drawing", _values([("└── id [DIRECT] id",), ("    └── ods.user_table.id",)], "line"))
+def console_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lin.lineage(spark, "SELECT id FROM ods.user_table", catalog.fixture())
+    return spark.createDataFrame([(x,) for x in report.drawing(found).split("\n")], "line string")
+
+
+_ASK = {"sql": "SELECT id FROM ods.user_table", "connectorType": "mock"}
+
+
+@register("api_01_health", _values([("UP", "Lineage")], "status, service"))
+def api_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = report.answer(spark, "/health", {})
+    return spark.createDataFrame([(a["status"], a["service"])], "status string, service string")
+
+
+@register("api_02_extract", _values([("columns",), ("tables",), ("tree",)], "k"))
+def api_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in sorted(report.answer(spark, "/api/lineage/extract", _ASK))], "k string")
+
+
+@register("api_03_tables", _values([("ods", "user_table")], '"database", "table"'))
+def api_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t["database"], t["table"]) for t in report.answer(spark, "/api/lineage/tables", _ASK)["tables"]], "database string, table string")
+
+
+@register("api_04_columns", _values([("id", "DIRECT")], "target, category"))
+def api_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c["target"], c["category"]) for c in report.answer(spark, "/api/lineage/columns", _ASK)["columns"]], "target string, category string")
+
+
+@register("api_05_errors", _values([("/api/lineage/tables", 400), ("/nothing", 404)], "path, code"))
+def api_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p, report.answer(spark, p, {})["statusCode"]) for p in ("/api/lineage/tables", "/nothing")], "path string, code int")
+
+
+# --- catalogs
+
+@register("src_21_catalog_interface", _values([("ods", "order_table", 4), ("ods", "product_table", 3), ("ods", "user_table", 4)], "db, tab, n"))
+def catalog_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog.fixture()
+    return spark.createDataFrame([(d, t, len(c.table(d, t).columns)) for d in c.databases() for t in sorted(c.tables(d))], "db string, tab string, n int")
+
+
+@register("src_22_session_catalog", _values([("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")], "name, type"))
+def session_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_folder(spark, sf_dir, ["nation"])
+    return spark.createDataFrame([(c.name, c.data_type) for c in catalog.connect(spark, "session").columns("nation")], "name string, type string")
+
+
+_SHEET = "SELECT 's' AS sheet, CAST(NULL AS STRING) AS catalog, 'analytics' AS database, CAST(NULL AS STRING) AS db_owner, CAST(NULL AS STRING) AS db_comment, 'orders' AS table, 'me' AS table_owner, 'MANAGED' AS table_type, CAST(NULL AS STRING) AS table_comment, c AS column, 'STRING' AS data_type, p = false AS nullable, CAST(NULL AS STRING) AS column_comment, o AS ordinal, p AS is_partition, CAST(NULL AS STRING) AS default_value FROM VALUES ('ds', 1, true), ('id', 0, false) AS v(c, o, p)"
+
+
+@register("src_23_rows_catalog", _values([("id", 0, False), ("ds", 1, True)], "name, ordinal, partition_"))
+def rows_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog.RowsCatalog(spark.sql(_SHEET))
+    return spark.createDataFrame([(x.name, x.ordinal, x.partition) for x in c.columns("analytics.orders")], "name string, ordinal int, partition_ boolean")
+
+
+@register("src_24_mock_catalog", _values([("order_table",), ("product_table",), ("user_table",)], "name"))
+def mock_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.connect(spark, "mock").rows(spark).select(F.col("table").alias("name")).distinct()
+
+
+@register("src_25_csv_catalog", _values([("id", 0), ("ds", 1)], "name, ordinal"))
+def csv_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.sources import scratch
+
+    at = scratch.path(spark, "catalog")
+    spark.sql(_SHEET).write.csv(at, header=True)
+    c = catalog.connect(spark, "csv", {"path": at})
+    return spark.createDataFrame([(x.name, x.ordinal) for x in c.columns("orders")], "name string, ordinal int")
+
+
+@register("src_26_catalog_factory", _values([("mock", True), ("session", True), ("nothing", False)], "kind, made"))
+def catalog_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for kind in ("mock", "session", "nothing"):
+        try:
+            out.append((kind, catalog.connect(spark, kind) is not None))
+        except ValueError:
+            out.append((kind, False))
+    return spark.createDataFrame(out, "kind string, made boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ def table_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("src_09_partitioned_table_function", "SELECT o_custkey, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY o_custkey")
 def partitioned_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function over each partition of a table: Arrow batches by key."""
-    import pandas as pd
-
     def f(key, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"o_custkey": [key[0]], "n": [len(part)], "top": [round(part.o_totalprice.max(), 2)]})
 
@@ -99,8 +98,6 @@ def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("prj_08_map_reduce", "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1")
 def map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MAP to (priority, 1); REDUCE sorted batches to partial counts, which a last sum puts together."""
-    import pandas as pd
-
     from lakeloom.operators import scripts
 
     pairs = scripts.map_rows(read_table(spark, sf_dir, "orders").select("o_orderpriority"), lambda b: pd.DataFrame({"p": b.o_orderpriority, "one": 1}), "p string, one long")
@@ -152,8 +149,6 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("jon_15_user_defined", "SELECT n_regionkey AS k, count(*) AS nations, max(r_name) AS name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def user_defined_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pandas as pd
-
     a = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), "n_name")
     b = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), "r_name")
     f = lambda x, y: pd.DataFrame({"k": x.k[:1], "nations": [len(x)], "name": y.r_name[:1].tolist()})

@@ -502,9 +502,13 @@ RULES = [
 ]
 
 
-def rewrite(text: str, context: Context | None = None) -> str:
-    """Spark SQL for a statement of the dialect. Rules see each other's results, as tokens."""
+def rewrite(text: str, context: Context | None = None, parse_only: bool = False) -> str:
+    """Spark SQL for a statement of the dialect. Rules see each other's results, as tokens.
+
+    ``parse_only`` keeps function names as written: enough for a parser, which takes any name.
+    """
     c = context or Context()
     for rule in RULES:
-        text = render(rule(tokenize(text), c))
+        if not (parse_only and rule is renamed_functions):
+            text = render(rule(tokenize(text), c))
     return text

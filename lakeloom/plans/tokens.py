@@ -63,7 +63,7 @@ def split_statements(text: str) -> list[str]:
     for k, t in enumerate(tokens):
         if t.up == "BEGIN":
             depth += 1
-        elif t.up == "END" and depth and not _ends_case(tokens, k):
+        elif t.up == "END" and depth and not _ends_case(tokens, k) and _word_after(tokens, k) not in ("IF", "LOOP", "WHILE", "CASE", "FOR", "REPEAT"):
             depth -= 1
         if t.kind == "op" and FULL_WIDTH.get(t.text, t.text) == ";" and not depth:
             out.append(render(now))
@@ -74,6 +74,10 @@ def split_statements(text: str) -> list[str]:
     return [s.strip() for s in out if any(t.kind not in ("space", "comment") for t in tokenize(s))]
 
 
+def _word_after(tokens: list[Token], at: int) -> str:
+    return next((t.up for t in tokens[at + 1 :] if t.kind not in ("space", "comment")), "")
+
+
 def _ends_case(tokens: list[Token], at: int) -> bool:
     open_ = 0
     for t in tokens[:at]:
