@@ -9,9 +9,11 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,42 +25,74 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 class WordEncoder:
-    """Token ids of texts; equal words are encoded once.
+    """Token ids of texts (as bytes, four for each id); equal words are encoded once.
 
     Words between ASCII white space can be encoded apart, as the tokenizer splits there; a final full stop or comma after
-    letters only is a token of its own. ``most`` words are kept at a time.
+    letters only is a token of its own. New words go to the tokenizer in one text, a mark between them.
+    Texts of Latin letters are lower-cased first, as the tokenizer would do. ``most`` words are kept at a time.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def __call__(self, text: str) -> array:
-        words = []
-        for w in text.translate(_SPACE).split(" "):
-            if w:
-                if w[-1] in ".," and w[:-1].isalpha():
-                    words += (w[:-1], w[-1])
-                else:
-                    words.append(w)
+        mark = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
+        self.mark = mark[1] if len(mark) == 3 and mark[0] == mark[2] else None
+
+    def _alone(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if _MARK not in w] if self.mark is not None else []
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = [0, *(np.flatnonzero(ids == self.mark) + 1).tolist(), len(ids) + 1]
+            if len(cut) == len(plain) + 1:
+                raw = ids.tobytes()
+                for w, a, z in zip(plain, cut, cut[1:]):
+                    self.known[w] = raw[4 * a : 4 * (z - 1)]
+        for w in new:
+            if w not in self.known:
+                self.known[w] = self._alone(w)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        lists, every = [], set()
+        for text in texts:
+            if not _OTHER.search(text):
+                text = text.lower()
+            for c in "\t\n\x0b\x0c\r":
+                text = text.replace(c, " ")
+            if _RUN.search(text):
+                text = _TAIL.sub(r"\1 \2", text)
+            else:
+                text = f"{text} ".replace(". ", " . ").replace(", ", " , ")
+            words = text.split(" ")
+            lists.append(words)
+            every.update(words)
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        out = array("I")
-        out.frombytes(b"".join([known[w] for w in words]))
-        return out
+        if len(known) + len(every) > self.most:
+            known.clear()
+        if new := [w for w in every if w not in known]:
+            self._learn(new)
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
+
+
+_MARK = "\x01"
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_RUN = re.compile(r"[^\w ][.,](?: |$)|_[.,](?: |$)")  # a stop that is part of a longer run
+_TAIL = re.compile(r"([^\W\d_])([.,])(?= |$)")
+_encoders: dict[str, WordEncoder] = {}
 
 
-_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that its words serve all of the process's tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
@@ -138,7 +172,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
     ship(spark)
 
     def run(it):
-        encode = WordEncoder(tokenizer)
+        encode, end = encoder(tokenizer), np.array([end_id], np.uint32).tobytes()
         packer = Packer(capacity, grain, TaskContext.get().partitionId() << 32)
 
         def rows(pieces):
@@ -152,10 +186,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
         for whole in it:
             for b in slices(whole, "text"):
                 done = []
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    ids = encode(text or "")
-                    ids.append(end_id)
-                    done += packer.add((doc_id, len(ids), ids.tobytes()))
+                texts = [x or "" for x in b.column("text").to_pylist()]
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):
+                    done += packer.add((doc_id, len(ids) // 4 + 1, ids + end))
                 yield rows(done)
         yield rows(packer.close())
 
