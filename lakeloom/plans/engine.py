@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ class Engine:
         """Catalyst's estimate of a table's size, or None."""
         try:
             plan = self.spark.table(name)._jdf.queryExecution().optimizedPlan()
-            return int(plan.stats().sizeInBytes().toString())
-        except Exception:  # an unknown table fails later, with a better message
+        except AnalysisException:  # an unknown table fails later, with a better message
             return None
+        return int(str(plan.stats().sizeInBytes()))
 
     def translate(self, text: str, params: dict[str, object] | None = None) -> str:
         """The Spark SQL that a statement becomes."""

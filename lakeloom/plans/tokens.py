@@ -23,7 +23,7 @@ _LEX = re.compile(
   | (?P<param>\$\{[^}]*\})
   | (?P<size>\d+(?:\.\d+)?[bBkKmMgG](?![\w.]))
   | (?P<number>(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?(?:BD|[LSYDFlsydf])?(?![\w]))
-  | (?P<word>@{0,2}[^\W\d][\w$]*)
+  | (?P<word>@{0,2}[^\W\d](?:\w|\$(?!\{))*)
   | (?P<op><=>|<>|!=|<=|>=|==|\|\||->|:=|::|[-+*/%&|^~!=<>.,;:()\[\]?@，；（）{}])
   | (?P<other>.)
     """,
