@@ -59,6 +59,12 @@ _section("mtd_18_comments", "comments", "SELECT a, -- first\n b -- second\nFROM
 _section("mtd_17_comment_places", "comments", "-- head\nSELECT a /* block */ FROM t", ["text", "start", "stop"], [("head", 0, 7), ("block", 17, 28)], "text, start, stop")
 
 
+_section("mtd_04_outer_aliases", "tables", "SELECT x.a, y.b FROM (SELECT a FROM p q) x JOIN r y ON x.a = y.a", ["scope", "alias"], [("", "x"), ("x", "q"), ("", "y")], "scope, alias")
+_section("mtd_09_owners", "fields", "SELECT u.id, user_table.id AS i, id AS j FROM ods.user_table u", ["alias", "columns"], [(None, "u.id"), ("i", "user_table.id"), ("j", "id")], "alias, columns")
+_section("mtd_10_expression_text", "fields", "SELECT a + b * 2 AS x, CASE WHEN a > 1 THEN 'y' ELSE 'n' END AS z, NOT a IN (1, 2) AS w, -a AS v FROM t", ["alias", "expression"], [("x", "a + b * 2"), ("z", "CASE WHEN a > 1 THEN 'y' ELSE 'n' END"), ("w", "NOT a IN (1, 2)"), ("v", "-a")], "alias, expression")
+_section("mtd_19_statement_comments", "comments", "-- the whole\nSELECT a,\n-- before b\nb FROM t\n-- before where\nWHERE a > 1", ["text", "target_type", "target_name"], [("the whole", "STATEMENT", ""), ("before b", "FIELD", "b"), ("before where", "WHERE", "")], "text, target_type, target_name")
+
+
 @register("mtd_01_errors", _values([("SELECT 1", "success"), ("SELECT (a FROM t", "error"), ("  ", "error")], "sql, status"))
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(q, meta.extract(spark, q).status) for q in ("SELECT 1", "SELECT (a FROM t", "  ")], "sql string, status string")
@@ -166,6 +172,14 @@ def console_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in report.drawing(found).split("\n")], "line string")
 
 
+@register("prs_03_console", _values([("SELECT id FROM ods.user_table", True), ("help", True), ("nonsense (", True)], "line, answered"))
+def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.console import reply
+
+    lines = ("SELECT id FROM ods.user_table", "help", "nonsense (")
+    return spark.createDataFrame([(x, bool(reply(spark, x, catalog.fixture()))) for x in lines], "line string, answered boolean")
+
+
 _ASK = {"sql": "SELECT id FROM ods.user_table", "connectorType": "mock"}
 
 

@@ -189,6 +189,11 @@ def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT o_orderkey, with_tax(o_totalprice) AS v FROM orders")
 
 
+@register("udf_04_script_function", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) >= 5")
+def script_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, sf_dir).script("CREATE OR REPLACE TEMPORARY FUNCTION enough(n BIGINT) RETURNS BOOLEAN RETURN n >= 5; SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING enough(count(*))")
+
+
 @register("udf_05_macro", "SELECT p_partkey, p_size * p_size + 1 AS v FROM part")
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, sf_dir).script("CREATE TEMPORARY MACRO square_and_one(x INT) x * x + 1; SELECT p_partkey, square_and_one(p_size) AS v FROM part")

@@ -165,7 +165,7 @@ def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregates
 
 dialect("agg_01_group_by", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
-dialect("agg_01_group_by_expression", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)")
+dialect("agg_01_group_by_expression", "SELECT CAST(year(o_orderdate) AS INT) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)")
 dialect("agg_02_ordinal", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
 dialect("agg_03_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)")
 dialect("agg_04_rollup", "SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 2) AS a FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")

@@ -10,16 +10,16 @@ from lakeloom.plans.registry import dialect, register
 from lakeloom.sources.tables import read_table
 
 _O = "o_orderkey, o_custkey"
-dialect("win_01_call", f"SELECT {_O}, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders")
+dialect("win_01_call", f"SELECT {_O}, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rn FROM orders")
 dialect("win_02_inline_spec", f"SELECT {_O}, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS run FROM orders")
-dialect("win_03_named", f"SELECT {_O}, rank() OVER w AS r, dense_rank() OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
-dialect("win_04_extended", f"SELECT {_O}, row_number() OVER (w ORDER BY o_orderkey) AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey)")
-dialect("win_05_distribute_sort", f"SELECT {_O}, row_number() OVER (DISTRIBUTE BY o_custkey SORT BY o_orderkey) AS rn FROM orders", f"SELECT {_O}, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders")
+dialect("win_03_named", f"SELECT {_O}, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+dialect("win_04_extended", f"SELECT {_O}, CAST(row_number() OVER (w ORDER BY o_orderkey) AS INT) AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey)")
+dialect("win_05_distribute_sort", f"SELECT {_O}, CAST(row_number() OVER (DISTRIBUTE BY o_custkey SORT BY o_orderkey) AS INT) AS rn FROM orders", f"SELECT {_O}, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS rn FROM orders")
 dialect("win_06_rows", f"SELECT {_O}, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS a FROM orders")
 dialect("win_07_range", f"SELECT {_O}, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS n FROM orders")
 dialect("win_09_single_bound", f"SELECT {_O}, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 1 PRECEDING) AS m FROM orders")
 dialect("win_10_bounds", f"SELECT {_O}, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM orders")
-dialect("win_12_ranking", f"SELECT {_O}, row_number() OVER (ORDER BY o_orderkey) AS a, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS b, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS c FROM (SELECT * FROM orders WHERE o_orderkey < 500) o")
+dialect("win_12_ranking", f"SELECT {_O}, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS INT) AS a, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INT) AS b, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INT) AS c FROM orders")
 dialect("win_13_aggregates", f"SELECT {_O}, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS a FROM orders")
 dialect("win_14_analytic", f"SELECT {_O}, lag(o_totalprice) OVER w AS p, lead(o_totalprice, 2, 0) OVER w AS q, first_value(o_orderstatus) OVER w AS f, ntile(3) OVER w AS t FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)", f"SELECT {_O}, lag(o_totalprice) OVER w AS p, lead(o_totalprice, 2, 0) OVER w AS q, first_value(o_orderstatus) OVER w AS f, CAST(ntile(3) OVER w AS INTEGER) AS t FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 dialect("win_15_inside_expression", f"SELECT {_O}, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share FROM orders")
