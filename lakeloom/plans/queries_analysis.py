@@ -172,6 +172,17 @@ def console_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in report.drawing(found).split("\n")], "line string")
 
 
+@register("snk_13_text_lines", _values([("tables: ods.order_table",), ("n = count(1) [AGGREGATE]",)], "value"))
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as a text file and read again."""
+    from lakeloom.sources import scratch
+
+    at = scratch.path(spark, "report")
+    found = lin.lineage(spark, "SELECT count(*) AS n FROM ods.order_table", catalog.fixture())
+    spark.createDataFrame([(x,) for x in report.listing(found).split("\n")], "value string").write.text(at)
+    return spark.read.text(at)
+
+
 @register("prs_03_console", _values([("SELECT id FROM ods.user_table", True), ("help", True), ("nonsense (", True)], "line, answered"))
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.console import reply

@@ -86,6 +86,7 @@ dialect("cst_01_cast_datetime", "SELECT event_id, CAST(ts AS DATETIME) AS v FROM
 dialect("cst_02_convert", "SELECT p_partkey, convert(p_size, STRING) AS v FROM part", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS v FROM part")
 dialect("cst_03_to_number", "SELECT round(CAST(to_number('12.5') AS DOUBLE), 4) AS a, CAST(to_number('1,234', '9,999') AS INT) AS b", "SELECT CAST(12.5 AS DOUBLE) AS a, 1234 AS b")
 dialect("cst_04_to_string", "SELECT n_nationkey, to_string(n_regionkey) AS v FROM nation", "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS v FROM nation")
+dialect("cst_05_to_date", "SELECT o_orderkey, to_date(date_format(o_orderdate, 'yyyyMMdd'), 'yyyyMMdd') AS v FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS v FROM orders")
 dialect("cst_06_to_char", "SELECT n_nationkey, to_char(n_nationkey, '099') AS v FROM nation", "SELECT n_nationkey, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS v FROM nation")
 dialect("cnd_01_if", "SELECT p_partkey, if(p_size > 25, 'big', 'small') AS v FROM part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS v FROM part")
 dialect("cnd_02_case_value", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS v FROM orders")

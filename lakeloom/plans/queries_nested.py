@@ -19,3 +19,4 @@ dialect("arr_09_constructors", "SELECT n_nationkey, array(n_regionkey, 1)[0] AS
 dialect("arr_10_lambdas", "SELECT vec_id, round(aggregate(transform(embedding, x -> CAST(x * x AS DOUBLE)), CAST(0 AS DOUBLE), (a, x) -> a + x), 4) AS norm, size(filter(embedding, x -> x > 0)) AS pos FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x * x AS FLOAT) AS DOUBLE))), 4) AS norm, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS pos FROM embeddings")
 dialect("arr_10_function_argument", "SELECT n_nationkey, transform(array(1, 2), FUNCTION(@x) AS @x + n_regionkey)[1] AS v FROM nation", "SELECT n_nationkey, 2 + n_regionkey AS v FROM nation")
 dialect("arr_11_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, from_json(props, 'k BIGINT').k AS j FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS j FROM events")
+dialect("src_20_lateral_view_source", "SELECT c.c_custkey, t.part FROM customer c LATERAL VIEW explode(split(c.c_name, '#')) t AS part WHERE c.c_acctbal > 9000", "SELECT c_custkey, unnest(string_split(c_name, '#')) AS part FROM customer WHERE c_acctbal > 9000")
