@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark remove shuffle files of finished steps now: it does so when the driver's garbage goes."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             fs, at = self._fs(f"{self.base}/{name}")
@@ -106,18 +112,17 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def batches(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow``: one output batch for each input batch that has rows."""
-
-    def run(it):
-        for b in it:
-            if b.num_rows:
-                yield make(b)
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those of smallest hash of ``key``: the same at any partitioning.
 
-    return run
+    A first filter leaves little more than that of any number of rows, so the sort stays small.
+    """
+    share = min(1.0, (most + 6 * most**0.5 + 20) / max(1, df.count()))
+    bound = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+    return df.withColumn("__h", F.xxhash64(key)).where(F.col("__h") <= bound).orderBy("__h", key).limit(most).drop("__h")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch where a text column passes ``most`` bytes, so that memory follows bytes and not rows."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     at = np.cumsum(sizes) // most

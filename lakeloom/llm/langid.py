@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Workspace, slices
+from lakeloom.llm.common import Workspace, hash_sample, slices
 
 SLOTS = 1 << 15
 _TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;", re.S | re.I)
@@ -54,9 +54,9 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = 2000) -> Model:
-    """Fit on at most ``sample`` rows with text and language, those of smallest hash of doc_id; only they reach the driver."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.lower("lang").alias("lang"), "text")
-    return Model.fit([(r.lang, r.text) for r in rows.orderBy("h", "doc_id").limit(sample).collect()])
+    """Fit on at most ``sample`` rows with a language, those of smallest hash of doc_id; only they reach the driver."""
+    rows = docs.where("lang IS NOT NULL AND lang <> ''").select("doc_id", F.lower("lang").alias("lang"), "text")
+    return Model.fit([(r.lang, r.text) for r in hash_sample(rows, "doc_id", sample).collect() if r.text is not None])
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:

@@ -10,6 +10,7 @@ lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from array import array
 
@@ -86,15 +87,31 @@ _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _RUN = re.compile(r"[^\w ][.,](?: |$)|_[.,](?: |$)")  # a stop that is part of a longer run
 _TAIL = re.compile(r"([^\W\d_])([.,])(?= |$)")
 _encoders: dict[str, WordEncoder] = {}
+_turn = 0
 
 
 def encoder(path: str) -> WordEncoder:
     """One for each worker process, so that its words serve all of the process's tasks."""
+    global _turn
+    _turn += 1
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
+def rest(after: float = 5.0) -> None:
+    """A task is done: if the process gets no other within some seconds, its words go, and with them their memory."""
+    turn = _turn
+
+    def forget() -> None:
+        if turn == _turn:
+            _encoders.clear()
+
+    timer = threading.Timer(after, forget)
+    timer.daemon = True
+    timer.start()
+
+
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full sequences, then halving classes, then the rest under ``grain``."""
     out, at, size = [], 0, capacity
@@ -191,5 +208,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
                     done += packer.add((doc_id, len(ids) // 4 + 1, ids + end))
                 yield rows(done)
         yield rows(packer.close())
+        rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)

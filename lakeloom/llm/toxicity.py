@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import ship, slices
+from lakeloom.llm.common import hash_sample, ship, slices
 
 # Words of reporting and of address, in the four languages of the corpus.
 REPORTS = frozenset(
@@ -90,7 +90,7 @@ class Scorer:
         known, found = self.known, False
         for w in set(_WORD.findall(low)):
             if w not in known:
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 known[w] = self.trie.match(w)
             found = found or known[w] is not None
@@ -187,7 +187,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     """
     use = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 <> 0")
     use = use.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    pick = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    pick = hash_sample(use, "doc_id", sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").select("doc_id", "text", "toxic")
     texts, toxic = [], []
     for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text)):
