@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import ship, slices
 
-PATH, WORDS, PLAIN = 128, 32, 8
+PATH, WORDS, PLAIN = 192, 32, 8  # of the path, half for all of it and half for its last step
 WIDTH = PATH + WORDS + PLAIN
 
 # HTML's void elements, and the elements that run within a line of text.
@@ -113,10 +113,14 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
         if len(_paths) > 50_000:
             _paths.clear()
         v = np.zeros(PATH, np.float32)
-        for depth, step in enumerate(path):
+        half = PATH // 2
+        for depth, step in enumerate(path, 1):
             for name in step.split():
                 h = zlib.crc32(name.encode())
-                v[h % PATH] += 1.0 if h & 0x10000 else -1.0
+                sign = 1.0 if h & 0x10000 else -1.0
+                v[h % half] += sign
+                if depth == len(path):
+                    v[half + h // half % half] += sign
         _paths[path] = np.clip(v, -3, 3)
     return _paths[path]
 
@@ -135,7 +139,7 @@ def vectors(page: list[Block]) -> np.ndarray:
                     _slots.clear()
                 s = _slots[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS
             slots.append(s)
-        x[i, PATH : PATH + WORDS] = np.bincount(slots, minlength=WORDS) / math.sqrt(len(words))
+        x[i, PATH : PATH + WORDS] = np.minimum(np.bincount(slots, minlength=WORDS) / math.sqrt(len(words)), 1.5)
         n = len(b.text)
         last = b.path[-1].split()[0] if b.path else ""
         x[i, PATH + WORDS :] = (
@@ -229,7 +233,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     def run(it):
         net = BiLSTM.load()
         for whole in it:
-            for b in slices(whole, "html", 4 << 20):
+            for b in slices(whole, "html"):
                 texts = main_texts([x or "" for x in b.column("html").to_pylist()], net)
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

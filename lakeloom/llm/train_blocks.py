@@ -26,6 +26,7 @@ _FOOT = ["footer", 'div class="footer"', 'div id="footer"', 'div class="site-foo
 _SIDE = ["aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="related"', 'div class="widget"', 'section class="recommended"', 'div class="popular"']
 _NOTE = ['div class="cookie"', 'div class="notice"', 'div id="gdpr-banner"', 'div class="alert"', 'div class="cookie-consent"', 'div class="subscribe"', 'div class="newsletter"', 'div role="dialog"', 'div class="modal"']
 _AD = ['div class="ad"', 'div class="ads"', 'div class="advert"', 'div id="ad-top"', 'aside class="sponsored"', 'div class="promo"', 'ins class="adsbygoogle"', 'div class="advertisement"']
+_SHARE = ['div class="share"', 'div class="social"', 'ul class="share-buttons"', 'div class="tags"', 'div class="byline-links"', 'div class="pagination"', 'div class="popup"', 'div style="display:none"']
 _TALK = ['div class="comments"', 'section id="comments"', 'div id="disqus"', 'ol class="comment-list"', 'div class="comment"', 'section class="reader-comments"', 'div class="responses"']
 
 
@@ -68,9 +69,14 @@ class Maker:
         if self.r.random() < 0.8:
             title = self.words(self.r.randint(2, 12)) if self.r.random() < 0.4 else self.prose()[: self.r.choice((20, 60, 120))]
             out.append(self.wrap(self.r.choice(("h1", "h1", "h2")), title))
+        style = self.r.random()
         for _ in range(self.r.choice((1, 2, 4, 8, 15))):
             k = self.r.random()
-            if k < 0.7:
+            if style < 0.08 and k < 0.8:
+                out.append(self.wrap(self.r.choice(("div", 'div class="text"', "section")), self.prose()))
+            elif style < 0.12 and k < 0.8:
+                out.append(f"<span>{self.prose()}</span><br><br>")
+            elif k < 0.7:
                 p = self.prose()
                 if self.r.random() < 0.2:
                     p = f"<b>{p}" + self.r.choice(("</b>", "<br>", "<br>"))
@@ -105,8 +111,11 @@ class Maker:
             (top if r.random() < 0.6 else bottom).append(self.wrap(r.choice(_NOTE), self.wrap("p", filler()) if r.random() < 0.5 else filler()))
         if r.random() < 0.5:
             (top if r.random() < 0.3 else bottom).append(self.wrap(r.choice(_SIDE), self.wrap("h3", self.words(2, 0.6)) + (self.links(4) if r.random() < 0.5 else self.wrap("p", filler()))))
+        talk = lambda: self.wrap(r.choice(_TALK), self.wrap(r.choice(("h2", "h3", "p")), self.words(2, 0.7)) + "".join(self.wrap(r.choice(("p", "li", "div", "article", 'div class="comment-body"')), self.prose()) for _ in range(r.randint(1, 5))))
         if r.random() < 0.4:
-            bottom.append(self.wrap(r.choice(_TALK), self.wrap(r.choice(("h2", "h3", "p")), self.words(2, 0.7)) + "".join(self.wrap(r.choice(("p", "li", "div")), self.prose()) for _ in range(r.randint(1, 5)))))
+            bottom.append(talk())
+        if r.random() < 0.2:
+            (top if r.random() < 0.4 else bottom).append(self.wrap(r.choice(_SHARE), self.links(3)))
         if r.random() < 0.25:
             (top if r.random() < 0.4 else bottom).append(self.wrap("form", self.wrap("label", self.words(2, 0.8)) + '<input type="text">' + self.wrap("p", filler())))
         if r.random() < 0.85:
@@ -114,9 +123,16 @@ class Maker:
         r.shuffle(bottom)
         body = re.sub(r">(?=[^<])", ">\x02", self.article())
         inner = ""
-        for piece in (self.wrap(r.choice(_AD), filler()), self.wrap(r.choice(_SIDE), filler()), self.wrap(r.choice(_NOTE), filler())):
+        extras = [lambda: self.wrap(r.choice(_AD), filler()), lambda: self.wrap(r.choice(_SIDE), self.wrap("p", filler())), lambda: self.wrap(r.choice(_NOTE), filler()), lambda: self.wrap(r.choice(_SHARE), self.links(3))]
+        extras += [talk, lambda: self.wrap("form", self.wrap("label", self.words(2, 0.8)) + "<input>" + self.wrap("p", filler())), lambda: self.wrap("footer", self.wrap("p", filler())), lambda: self.wrap("nav", self.links(3))]
+        for piece in extras:
             if r.random() < 0.08:
-                inner += piece
+                made = piece()
+                if r.random() < 0.5 and "</p>" in body:  # among the paragraphs
+                    cut = body.index("</p>") + 4
+                    body = body[:cut] + made + body[cut:]
+                else:
+                    inner += made
         main = self.wrap(r.choice(_MAIN), body + inner) if r.random() < 0.95 else body
         whole = "".join(top) + main + "".join(bottom)
         if r.random() < 0.3:
@@ -162,7 +178,7 @@ def gradients(net: BiLSTM, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tu
     return float(loss), g
 
 
-def fit(pages: int = 12000, rounds: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> BiLSTM:
+def fit(pages: int = 20000, rounds: int = 7, batch: int = 64, rate: float = 0.01, seed: int = 5) -> BiLSTM:
     x, y = labelled(pages, seed)
     net, rng = BiLSTM(), np.random.default_rng(seed)
     m1, m2, step = {n: np.zeros_like(w) for n, w in net.w.items()}, {n: np.zeros_like(w) for n, w in net.w.items()}, 0
