@@ -50,25 +50,45 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Cells of unit vectors: ``tables`` tables, each with the own cell and ``probes`` neighbouring ones."""
+    """Cells of unit vectors: ``tables`` tables, each with the own cell and ``probes`` neighbouring ones.
 
-    def __init__(self, dim: int, tables: int, probes: int, scale: float, seed: int = 11):
+    A cell is a point of ``width`` copies of E8 side by side; a probe moves one of them. More copies make smaller cells: for
+    labels of very many vectors, with more tables to the same recall.
+    """
+
+    def __init__(self, dim: int, tables: int, probes: int, scale: float, width: int = 1, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.frames = [np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim] for _ in range(tables)]
-        self.shifts = rng.uniform(0, 1, (tables, 8))
-        self.step, self.probes, self.roots = scale / np.sqrt(max(dim, 8)), probes, e8_roots()
+        n = 8 * width
+        self.frames = [np.linalg.qr(rng.normal(size=(max(dim, n), n)))[0][:dim] for _ in range(tables)]
+        self.shifts = rng.uniform(0, 1, (tables, n))
+        self.step, self.probes, self.width, self.roots = scale / np.sqrt(max(dim, 8)), probes, width, e8_roots()
+
+    def _point(self, p: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(p), np.uint64)
+        for c in range(8):
+            key = textkit.mix(key + (2 * p[:, c]).astype(np.int64).view(np.uint64) * textkit._STEP[c] + textkit.U(1))
+        return key
 
     def cells(self, x: np.ndarray, label: np.ndarray) -> np.ndarray:
         """A 64-bit key for each (row, table, cell)."""
         out = []
         for t, (q, shift) in enumerate(zip(self.frames, self.shifts)):
             y = x @ q / self.step + shift
-            own = decode_e8(y)
-            order = np.argpartition(-((y - own) @ self.roots.T), self.probes, axis=1)[:, : self.probes] if self.probes else np.zeros((len(x), 0), int)
-            for p in [own, *(own + self.roots[order[:, j]] for j in range(self.probes))]:
-                key = textkit.mix(label.astype(np.int64).view(np.uint64) * textkit.U(1000003) + textkit.U(t + 1))
-                for c in range(8):
-                    key = textkit.mix(key + (2 * p[:, c]).astype(np.int64).view(np.uint64) * textkit._STEP[c])
+            choices = []  # for each copy: the own point's key, then its probes'
+            for w in range(self.width):
+                part = y[:, 8 * w : 8 * w + 8]
+                own = decode_e8(part)
+                near = [own]
+                if self.probes:
+                    order = np.argpartition(-((part - own) @ self.roots.T), self.probes, axis=1)[:, : self.probes]
+                    near += [own + self.roots[order[:, j]] for j in range(self.probes)]
+                choices.append([self._point(p) for p in near])
+            base = textkit.mix(label.astype(np.int64).view(np.uint64) * textkit.U(1000003) + textkit.U(t + 1))
+            picks = [[0] * self.width] + [[j if v == w else 0 for v in range(self.width)] for w in range(self.width) for j in range(1, self.probes + 1)]
+            for pick in picks:
+                key = base
+                for w, j in enumerate(pick):
+                    key = textkit.mix(key * textkit.U(3) + choices[w][j])
                 out.append(key)
         return np.stack(out, axis=1)
 
@@ -154,7 +174,7 @@ def _compare(least: float):
 
 
 def near_vectors(
-    spark: SparkSession, vectors: DataFrame, least: float = 0.93, tables: int = 5, probes: int = 3, scale: float = 1.76, block: int = 1024
+    spark: SparkSession, vectors: DataFrame, least: float = 0.93, tables: int = 5, probes: int = 3, scale: float = 1.76, width: int = 1, block: int = 1024
 ) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -191,7 +211,7 @@ def near_vectors(
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 part = b.take(pa.array(np.flatnonzero(dims == d)))
-                lattice = made.setdefault(d, Lattice(d, tables, probes, scale))
+                lattice = made.setdefault(d, Lattice(d, tables, probes, scale, width))
                 x = part.column("unit").flatten().to_numpy().reshape(-1, d)
                 keys = lattice.cells(x, part.column("label").to_numpy() * 1_000_003 + d)
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("w"), part.column("unit"), long_list(keys.ravel(), np.full(len(keys), keys.shape[1]))], ["rep", "w", "unit", "keys"])

@@ -35,10 +35,10 @@ def brute(data, least):
     return {i: (n[i], comp[i], comp[i] == i) for i in n}
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, tables, width", [(1024, 5, 1), (7, 5, 1), (1024, 16, 2)])
+def test_against_brute_force(spark, block, tables, width):
     data = rows()
-    got = lattice.near_vectors(spark, spark.createDataFrame(data, SCHEMA), block=block).collect()
+    got = lattice.near_vectors(spark, spark.createDataFrame(data, SCHEMA), block=block, tables=tables, width=width).collect()
     want = brute(data, 0.93)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
     assert sum(n for n, _, _ in want.values()) > 1000
