@@ -3,17 +3,19 @@
 Texts meet by anchors. Every window of ``least`` bytes holds a winnowed anchor (the smallest hash of its ``least - k + 1`` k-grams),
 the same one wherever the window is repeated. An anchor's context is all that windows around it can cover. Anchors
 whose whole contexts are equal cover them at once, by grouped counts. Only differing contexts of one anchor, near the
-ends of repeated passages, need their texts: one of each context goes to the suffix arrays of the anchor's left and right
-halves. There the suffixes are sorted, a stack scan of their common prefixes gives the intervals of the prefix tree,
-and those with differing left neighbours are maximal repeats, reported with every occurrence.
+ends of repeated passages, need their texts. Their windows are taken in a few ranges of starts, and equal regions once more
+cover what they are. One of each region that differs under a range's common key goes to a suffix array: the
+suffixes are sorted, a stack scan of their common prefixes gives the intervals of the prefix tree, and those with differing
+left neighbours are maximal repeats, reported with every occurrence.
 
-Groups over ``group`` contexts (a passage in very many settings) are compared by window hashes instead, which are
+Groups over ``group`` regions (a passage in very many settings) are compared by window hashes instead, which are
 counted with map-side sums and need no two contexts in one task; the result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,19 @@ from pyspark.sql import functions as F
 from lakeloom.llm import textkit
 from lakeloom.llm.common import Workspace, slices
 
-_ANCHORS = "ah long, ch long, doc_id long, t long, pos int, lo int, hi int"
+_ANCHORS = "ah long, ch long, doc_id long, t long, pos int, size int"
 _SPANS = "doc_id long, t long, lo int, hi int"
-_CONTEXTS = "key long, side int, doc_id long, t long, pos int, lo int, ctx binary"
+_CONTEXTS = "doc_id long, t long, pos int, lo int, size int, ctx binary"
+_CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+_PARTS = "key long, rh long, doc_id long, t long, pos int, lo int, hi int"
+PARTS = 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """t tells rows of one doc_id apart by their texts; it is 0 throughout where every doc_id is there and alone."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(text)).alias("t"))
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -69,8 +76,8 @@ def _anchors(least: int, k: int):
     def run(it):
         digest = xxhash.xxh3_64_intdigest
         for whole in it:
-            for b in slices(whole, "text", 4 << 20):
-                ah, ch, ids, ts, at, los, his = [], [], [], [], [], [], []
+            for b in slices(whole, "text"):
+                ah, ch, ids, ts, at, sizes = [], [], [], [], [], []
                 for doc_id, t, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "text"))):
                     raw = text.encode("utf-8", "surrogatepass")
                     p = anchor_positions(raw, least, k)
@@ -83,163 +90,183 @@ def _anchors(least: int, k: int):
                     ids += [doc_id] * len(ps)
                     ts += [t] * len(ps)
                     at += ps
-                    los += ls
-                    his += hs
+                    sizes += [len(raw)] * len(ps)
                 u = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 i = lambda v: pa.array(np.array(v, np.int32))
-                yield pa.RecordBatch.from_arrays([u(ah), u(ch), pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), i(at), i(los), i(his)], [x.split()[0] for x in _ANCHORS.split(", ")])
+                yield pa.RecordBatch.from_arrays([u(ah), u(ch), pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), i(at), i(sizes)], [x.split()[0] for x in _ANCHORS.split(", ")])
 
     return run
 
 
-def _contexts(least: int, k: int):
-    """Texts with the anchors wanted of them: each context twice, under the hash of its left and of its right half key."""
-    half = (least - k + 1) // 2
+def _ranges(pos: int, n: int, least: int, k: int):
+    """The windows around an anchor in PARTS ranges of starts: (part, first, last, key's bounds), clipped to the text.
+
+    All windows of a range hold its key, whatever is clipped; what they cover together is its region.
+    """
+    reach = least - k
+    width = reach // PARTS + 1
+    for i in range(PARTS):
+        low, high = pos - min(width * (i + 1) - 1, reach), pos - width * i
+        first, last = max(low, 0), min(high, n - least)
+        if first <= last:
+            yield i, first, last, high, low + least
+
+
+def _contexts(least: int):
+    """Texts with the anchors wanted of them -> (doc_id, t, pos, lo, size, ctx)."""
 
     def run(it):
-        digest = xxhash.xxh3_64_intdigest
         for whole in it:
-            for b in slices(whole, "text", 4 << 20):
-                cols = [[] for _ in range(7)]
+            for b in slices(whole, "text"):
+                cols = [[] for _ in range(6)]
                 for doc_id, t, text, want in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "text", "want"))):
                     raw = text.encode("utf-8", "surrogatepass")
-                    for pos, lo, hi in ((x["pos"], x["lo"], x["hi"]) for x in want):
-                        ctx = raw[lo:hi]
-                        for side, a, z in ((0, pos - half, pos + k), (1, pos, pos + k + half)):
-                            if a >= 0 and z <= len(raw) and hi - lo >= least:
-                                for c, v in zip(cols, (_signed(digest(raw[a:z], side)), side, doc_id, t, pos, lo, ctx)):
-                                    c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], [x.split()[0] for x in _CONTEXTS.split(", ")])
+                    for x in want:
+                        for c, v in zip(cols, (doc_id, t, x["pos"], x["lo"], len(raw), raw[x["lo"] : x["hi"]])):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, _CONTEXT_TYPES)], [x.split()[0] for x in _CONTEXTS.split(", ")])
 
     return run
 
 
-def _starts(side: int, pos: int, lo: int, size: int, least: int, k: int) -> range:
-    """Starts, within the context, of the windows that a half key stands for."""
-    half, reach = (least - k + 1) // 2, least - k
-    a, z = (pos - reach, pos - half) if side == 0 else (pos - half, pos)
-    return range(max(0, a - lo), min(z - lo, size - least) + 1)
+def _parts(least: int, k: int):
+    """Contexts -> their ranges: (key, rh, doc_id, t, pos, lo, hi), rh the hash of the region [lo, hi)."""
 
+    def run(it):
+        digest = xxhash.xxh3_64_intdigest
+        for b in it:
+            cols = [[] for _ in range(7)]
+            for doc_id, t, pos, lo, size, ctx in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "pos", "lo", "size", "ctx"))):
+                for i, first, last, x, y in _ranges(pos, size, least, k):
+                    key, rh = digest(ctx[x - lo : y - lo], i), digest(ctx[first - lo : last + least - lo], pos - first)
+                    for c, v in zip(cols, (key, rh, doc_id, t, pos, first, last + least)):
+                        c.append(v)
+            u = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([u(cols[0]), u(cols[1]), *(pa.array(c, x) for c, x in zip(cols[2:], kinds))], [x.split()[0] for x in _PARTS.split(", ")])
 
-def maximal_repeats(texts: list[bytes], starts: list[range], place: list[tuple], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of ``least`` bytes or more among the suffixes given: (length, occurrences (text, start)).
+    return run
+
+
+def maximal_repeats(texts: list[bytes], place: list[tuple], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Maximal repeats of ``least`` bytes or more: (length, texts, starts), one start for each text of all occurrences.
 
     ``place`` gives each text's (document, offset): suffixes at one place of one document are one occurrence. The interval
     tree comes from a stack scan over the sorted suffixes' common prefixes; an interval is reported if it has two places
-    and its left neighbours differ (a text's first byte has a neighbour of its own).
+    and its left neighbours differ (a text's first byte has a neighbour of its own). Shorter suffixes than ``least`` are left out.
     """
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-    if len(owner) < 2:
-        return []
-    first = np.concatenate([np.arange(s.start, s.stop) for s in starts if len(s)])
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    wide = int((size[owner] - first).max())
-    base = np.cumsum(size) - size
+    starts = np.maximum(size - least + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), starts)
+    if len(owner) < 2:
+        return
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+    wide = int(size.max())
     flat = np.frombuffer(b"".join(texts) + bytes(wide), np.uint8)
-    begin, long = base[owner] + first, size[owner] - first
+    begin, long = (np.cumsum(size) - size)[owner] + first, size[owner] - first
     rows = np.lib.stride_tricks.sliding_window_view(flat, wide)[begin]
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{wide}").ravel(), kind="stable")
-    rows, begin, long, owner, first = rows[order], begin[order], long[order], owner[order], first[order]
-    lcp = np.zeros(len(rows) + 1, np.int64)
-    for a in range(1, len(rows), 65536):
-        z = min(len(rows), a + 65536)
-        differ = rows[a:z] != rows[a - 1 : z - 1]
+    order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
+    begin, long, owner, first = begin[order], long[order], owner[order], first[order]
+    lcp = np.zeros(len(order) + 1, np.int64)
+    for a in range(1, len(order), 32768):
+        z = min(len(order), a + 32768)
+        here = rows[order[a - 1 : z]]
+        differ = here[1:] != here[:-1]
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
         lcp[a:z] = np.minimum(same, np.minimum(long[a:z], long[a - 1 : z - 1]))
+    del rows
     docs: dict = {}
     spot = np.array([docs.setdefault(p[0], len(docs)) for p in place])[owner] * (1 << 40) + np.array([p[1] for p in place])[owner] + first
     left = np.where(first > 0, flat[begin - 1].astype(np.int64), -1 - np.arange(len(begin)))
-    out = []
-    linked = lcp >= least
-    for a in np.flatnonzero(linked & ~np.roll(linked, 1)).tolist():
-        z = a
-        while linked[z]:
-            z += 1
-        # suffixes a-1 .. z-1 share least bytes; depths of the intervals from a stack
-        stack = [(int(lcp[a]), a - 1)]
-        done = []
+    linked = np.concatenate(([False], lcp >= least, [False]))
+    edges = np.flatnonzero(linked[1:] != linked[:-1])
+    depths = lcp.tolist()
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        # suffixes a-1 .. z-1 share least bytes; the intervals come from a stack of (depth, first suffix)
+        stack = [(depths[a], a - 1)]
         for j in range(a + 1, z + 1):
-            d = int(lcp[j]) if j < z else 0
+            d = depths[j] if j < z else 0
             at = j - 1
             while stack and stack[-1][0] > d:
                 depth, at = stack.pop()
-                done.append((depth, at, j))
+                s, l = spot[at:j], left[at:j]
+                if (l[0] < 0 or l[0] != l[-1] or (l != l[0]).any()) and (s != s[0]).any():
+                    yield depth, owner[at:j], first[at:j]
             if d >= least and (not stack or stack[-1][0] < d):
                 stack.append((d, at))
-        for depth, lo, hi in done:
-            s, l = spot[lo:hi], left[lo:hi]
-            if (s != s[0]).any() and ((l != l[0]).any() or l[0] < 0):
-                out.append((depth, list(zip(owner[lo:hi].tolist(), first[lo:hi].tolist()))))
-    return out
 
 
-def _repeats(least: int, k: int, batch: int):
-    """Contexts sorted by key: the spans that maximal repeats cover, merged for each context."""
+def _repeats(least: int, suffixes: int):
+    """Regions sorted by key -> the spans that maximal repeats cover, merged for each region.
+
+    Whole groups are gathered until they have ``suffixes`` suffixes; matches between groups are repeats like others.
+    """
 
     def spans(held):
-        texts = [x[5] for x in held]
-        starts = [_starts(x[0], x[3], x[4], len(x[5]), least, k) for x in held]
-        place = [((x[1], x[2]), x[4]) for x in held]
-        cover: dict[int, list] = {}
-        for depth, occurrences in maximal_repeats(texts, starts, place, least):
-            for text, at in occurrences:
-                cover.setdefault(text, []).append((at, at + depth))
-        for text, found in cover.items():
-            _, doc_id, t, _, lo, _ = held[text]
-            for a, z in merged(found):
-                yield doc_id, t, lo + a, lo + z
-
-    def rows(found):
-        c = list(zip(*found)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "t", "lo", "hi"])
+        texts = [x[3] for x in held]
+        found = [(o, f, f + depth) for depth, o, f in maximal_repeats(texts, [((x[0], x[1]), x[2]) for x in held], least)]
+        if not found:
+            return None
+        o, lo, hi = (np.concatenate(x) for x in zip(*found))
+        o, lo, hi = union(o, lo, hi)
+        at = np.fromiter((x[2] for x in held), np.int64, len(held))[o]
+        ids, ts = pa.array([x[0] for x in held], pa.int64()).take(pa.array(o)), pa.array([x[1] for x in held], pa.int64()).take(pa.array(o))
+        return pa.RecordBatch.from_arrays([ids, ts, pa.array((lo + at).astype(np.int32)), pa.array((hi + at).astype(np.int32))], ["doc_id", "t", "lo", "hi"])
 
     def run(it):
-        held, key, found = [], None, []
+        held, key, many = [], None, 0
         for b in it:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "side", "doc_id", "t", "pos", "lo", "ctx"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "t", "lo", "region"))):
                 if row[0] != key:
-                    if held and len(held) > 1:
-                        found += spans(held)
-                    held, key = [], row[0]
-                    if len(found) > batch:
-                        yield rows(found)
-                        found = []
+                    key = row[0]
+                    if many > suffixes:
+                        if (out := spans(held)) is not None:
+                            yield out
+                        held, many = [], 0
                 held.append(row[1:])
-        if len(held) > 1:
-            found += spans(held)
-        yield rows(found)
+                many += len(row[4]) - least + 1
+        if held and (out := spans(held)) is not None:
+            yield out
 
     return run
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans, those that overlap or touch made one."""
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], z))
-        else:
-            out.append((a, z))
-    return out
+def union(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of several owners, sorted, those of one owner that overlap or touch made one."""
+    order = np.lexsort((hi, lo, owner))
+    owner, lo, hi = owner[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    step = int(hi.max()) + 2 if len(hi) else 1
+    rank = np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1]))) if len(owner) else owner
+    reach = np.maximum.accumulate(rank * step + hi)
+    new = np.ones(len(lo), bool)
+    new[1:] = (rank * step + lo)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(lo)) - 1
+    return owner[at], lo[at], (reach - rank * step)[last] if len(at) else hi
 
 
-def _windows(least: int, k: int):
+def _windows(least: int):
     def run(it):
         for b in it:
             cols = [[], [], [], []]
-            for side, doc_id, t, pos, lo, ctx in zip(*(b.column(c).to_pylist() for c in ("side", "doc_id", "t", "pos", "lo", "ctx"))):
-                for s in _starts(side, pos, lo, len(ctx), least, k):
-                    for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(ctx[s : s + least])), doc_id, t, lo + s)):
+            for doc_id, t, lo, region in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "lo", "region"))):
+                for s in range(len(region) - least + 1):
+                    for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(region[s : s + least])), doc_id, t, lo + s)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["wh", "doc_id", "t", "lo"])
 
     return run
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: int = 64, group: int = 4096, ws: Workspace | None = None) -> DataFrame:
-    """Spans (doc_id, t, lo, hi) of UTF-8 bytes, overlapping as they come, that cover just the bytes of every ``least``-byte
-    string that starts at two places or more, in one document or several.
+def _by_text(spans: DataFrame) -> DataFrame:
+    pair = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+    return spans.groupBy("doc_id", "t").agg(F.collect_list(pair).alias("spans"))
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: int = 64, group: int = 20_000, suffixes: int = 60_000, ws: Workspace | None = None) -> DataFrame:
+    """For each text with repeats: doc_id, t, spans (each lo * 2**32 + hi, as they come), of UTF-8 bytes.
+
+    The spans cover just the bytes of every ``least``-byte string that starts at two places or more, in one document or several.
 
     t is xxhash64 of the text; rows that agree in doc_id and text are copies of each other and have the same spans. Null text
     is empty; a null doc_id is an id like others. Texts under ``least`` bytes have no spans. k must be a power of two.
@@ -248,27 +275,46 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     text = _keyed(docs)
     anchors = ws.save(text.mapInArrow(_anchors(least, k), _ANCHORS), "anchors")
     again = anchors.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1").select("ah", (F.col("x") == F.col("y")).alias("single"))
-    found = ws.save(anchors.join(again, "ah"), "found")
+    found = ws.save(anchors.join(again.hint("shuffle_hash"), "ah"), "found")
     ws.drop("anchors")
+    ws.release()
+    some = lambda *names: [F.first(c).alias(c) for c in names]  # noqa: E731  all of one row
     several = found.where("NOT single")
-    kinds = ws.save(several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "t", "pos", "lo", "hi")).alias("r")), "kinds")
-    alike = several.join(kinds.where("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
-    direct = found.where("single").unionByName(alike).where(F.col("hi") - F.col("lo") >= least).select("doc_id", "t", "lo", "hi")
-    want = kinds.select("r.*").groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("want"))
+    kinds = ws.save(several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), *some("doc_id", "t", "pos", "size")), "kinds")
+    alike = several.join(kinds.where("c > 1").select("ah", "ch").hint("shuffle_hash"), ["ah", "ch"], "left_semi")
+    lo, hi = F.greatest(F.col("pos") - (least - k), F.lit(0)).alias("lo"), F.least(F.col("pos") + least, F.col("size")).alias("hi")
+    direct = found.where("single").unionByName(alike).select("doc_id", "t", lo, hi).where(F.col("hi") - F.col("lo") >= least)
+    want = kinds.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", lo, hi)).alias("want"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))
     texts = text.alias("a").join(want.alias("b"), same).select("a.doc_id", "a.t", "a.text", "b.want")
-    contexts = ws.save(texts.mapInArrow(_contexts(least, k), _CONTEXTS), "contexts")
-    size = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    sized = ws.save(contexts.join(size, "key"), "sized")
-    ws.drop("contexts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usual = sized.where(F.col("c") <= group).drop("c").repartition(parts, "key").sortWithinPartitions("key")
-    spans = ws.save(usual.mapInArrow(_repeats(least, k, 10_000), _SPANS), "repeats").unionByName(direct)
-    large = sized.where(F.col("c") > group).drop("c")
+    contexts = ws.save(texts.mapInArrow(_contexts(least), _CONTEXTS), "contexts")
+    ws.release()
+    # ranges of windows in these contexts: equal regions cover all of theirs, only what differs under one key goes on
+    parts = ws.save(contexts.mapInArrow(_parts(least, k), _PARTS), "parts")
+    regions = ws.save(parts.groupBy("key", "rh").agg(F.count(F.lit(1)).alias("c"), *some("doc_id", "t", "pos", "lo", "hi")), "regions")
+    ws.release()
+    direct = direct.unionByName(parts.join(regions.where("c > 1").select("key", "rh").hint("shuffle_hash"), ["key", "rh"], "left_semi").select("doc_id", "t", "lo", "hi"))
+    direct = ws.save(_by_text(direct), "direct")
+    ws.drop("found", "kinds", "parts")
+    ws.release()
+    size = regions.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    left = regions.drop("c").join(size.hint("shuffle_hash"), "key").alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.pos") == F.col("b.pos"))
+    cut = F.expr("substring(b.ctx, a.lo - b.lo + 1, a.hi - a.lo)")
+    left = ws.save(left.join(contexts.alias("b"), same).select("key", "c", "a.doc_id", "a.t", "a.lo", cut.alias("region")), "left")
+    ws.drop("contexts", "regions")
+    ws.release()
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    usual = left.where(F.col("c") <= group).drop("c").repartition(count, "key").sortWithinPartitions("key")
+    spans = usual.mapInArrow(_repeats(least, suffixes), _SPANS)
+    large = left.where(F.col("c") > group).drop("c")
     if not large.isEmpty():
-        windows = ws.save(large.mapInArrow(_windows(least, k), "wh long, doc_id long, t long, lo int"), "windows")
+        windows = ws.save(large.mapInArrow(_windows(least), "wh long, doc_id long, t long, lo int"), "windows")
         ends = windows.groupBy("wh").agg(F.min(F.struct("doc_id", "t", "lo")).alias("x"), F.max(F.struct("doc_id", "t", "lo")).alias("y")).where("x <> y").select("wh")
         spans = spans.unionByName(windows.join(ends, "wh", "left_semi").select("doc_id", "t", "lo", (F.col("lo") + least).alias("hi")))
+    spans = ws.save(_by_text(spans).unionByName(direct).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    ws.drop("direct", "left", "windows")
+    ws.release()
     return spans
 
 
@@ -278,7 +324,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = 200) -> D
     A row's n_spans counts maximal removed runs; kept_sha256 is that of the other bytes put together. Null text is empty.
     """
     ws = Workspace(spark, "suffix")
-    each = repeated_spans(spark, docs, least, ws=ws).groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    each = repeated_spans(spark, docs, least, ws=ws)
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))
     both = _keyed(docs).alias("a").join(each.alias("b"), same, "left").select("a.doc_id", "a.text", "b.spans")
 
@@ -286,15 +332,18 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = 200) -> D
         for whole in it:
             for b in slices(whole, "text"):
                 cols = [[], [], [], []]
-                for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    cut = merged([(s["lo"], s["hi"]) for s in spans or ()])
-                    kept, at = hashlib.sha256(), 0
-                    for lo, hi in cut:
-                        kept.update(raw[at:lo])
-                        at = hi
+                for text, spans in zip(b.column("text"), b.column("spans")):
+                    raw = text.as_buffer().to_pybytes()
+                    kept, at, gone, n = hashlib.sha256(), 0, 0, 0
+                    if spans.is_valid:
+                        v = spans.values.to_numpy()
+                        _, los, his = union(np.zeros(len(v), np.int64), v >> 32, v & 0xFFFFFFFF)
+                        n, gone = len(los), int((his - los).sum())
+                        for lo, hi in zip(los.tolist(), his.tolist()):
+                            kept.update(raw[at:lo])
+                            at = hi
                     kept.update(raw[at:])
-                    for c, v in zip(cols, (len(raw), sum(z - a for a, z in cut), len(cut), kept.hexdigest())):
+                    for c, v in zip(cols, (len(raw), gone, n, kept.hexdigest())):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
