@@ -84,7 +84,7 @@ class WordEncoder:
 
 _MARK = "\x01"
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
-_RUN = re.compile(r"[^\w ][.,](?: |$)|_[.,](?: |$)")  # a stop that is part of a longer run
+_RUN = re.compile(r"[.,](?<=[^\w ][.,]|_[.,])(?: |$)")  # a stop that is part of a longer run
 _TAIL = re.compile(r"([^\W\d_])([.,])(?= |$)")
 _encoders: dict[str, WordEncoder] = {}
 _turn = 0
@@ -201,7 +201,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _PIECES.split(", ")])
 
         for whole in it:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 8 << 20):
                 done = []
                 texts = [x or "" for x in b.column("text").to_pylist()]
                 for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):
