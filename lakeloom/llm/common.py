@@ -28,9 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors' Python workers, once for each Spark context."""
+    """Send the package to the executors' Python workers, once for each Spark context.
+
+    Arrow batches of long texts are wanted small (unless the session says otherwise): each task holds some of them, on both sides.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "1000")
     if not getattr(sc, "_lakeloom_shipped", False):
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         made = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lakeloom-")), "lakeloom_code.zip")
@@ -47,8 +55,8 @@ def ship(spark: SparkSession) -> SparkSession:
 class Workspace:
     """Parquet tables in the shared folder. They cut lineage, so a lost executor costs one step only."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = ship(spark)
+    def __init__(self, spark: SparkSession, name: str, codec: str = "snappy"):
+        self.spark, self.codec = ship(spark), codec
         self.base = f"{shared_dir(spark)}/lakeloom-{name}-{uuid.uuid4().hex}"
 
     def _fs(self, path: str):
@@ -58,7 +66,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", self.codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

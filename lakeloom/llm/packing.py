@@ -47,8 +47,9 @@ class WordEncoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _MARK not in w] if self.mark is not None else []
-        if plain:
+        every = [w for w in new if _MARK not in w] if self.mark is not None else []
+        for at in range(0, len(every), 16_384):
+            plain = every[at : at + 16_384]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
             cut = [0, *(np.flatnonzero(ids == self.mark) + 1).tolist(), len(ids) + 1]
             if len(cut) == len(plain) + 1:
@@ -201,7 +202,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _PIECES.split(", ")])
 
         for whole in it:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 4 << 20):
                 done = []
                 texts = [x or "" for x in b.column("text").to_pylist()]
                 for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):

@@ -271,7 +271,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     t is xxhash64 of the text; rows that agree in doc_id and text are copies of each other and have the same spans. Null text
     is empty; a null doc_id is an id like others. Texts under ``least`` bytes have no spans. k must be a power of two.
     """
-    ws = ws or Workspace(spark, "suffix")
+    ws = ws or Workspace(spark, "suffix", "zstd")
     text = _keyed(docs)
     anchors = ws.save(text.mapInArrow(_anchors(least, k), _ANCHORS), "anchors")
     again = anchors.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1").select("ah", (F.col("x") == F.col("y")).alias("single"))
@@ -323,7 +323,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = 200) -> D
 
     A row's n_spans counts maximal removed runs; kept_sha256 is that of the other bytes put together. Null text is empty.
     """
-    ws = Workspace(spark, "suffix")
+    ws = Workspace(spark, "suffix", "zstd")
     each = repeated_spans(spark, docs, least, ws=ws)
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))
     both = _keyed(docs).alias("a").join(each.alias("b"), same, "left").select("a.doc_id", "a.text", "b.spans")
