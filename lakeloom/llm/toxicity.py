@@ -2,9 +2,10 @@
 
 The lexicon is learned from labelled rows: word beginnings and whole words that toxic rows hold far more often. A text's
 distinct words are each turned into a bit-parallel Levenshtein automaton (Wu and Manber's form: one machine word of
-states for each number of edits) that walks the lexicon trie; terms within one edit match. Each hit is weighted by the
-words around it: quotation marks and verbs of reporting lower it, forms of address raise it. A logistic model on
-the weighted hits gives the score. Scoring has no shuffle.
+states for each number of edits) that walks the lexicon trie; terms within one edit match, a digit or sign inside a word
+included. Each hit is weighted by the words around it: quotation marks and verbs of reporting lower it, forms of address
+raise it. A hit with an edit counts a fixed share of an exact one. A logistic model on the weighted hits gives the score.
+Scoring has no shuffle.
 """
 
 from __future__ import annotations
@@ -27,27 +28,34 @@ REPORTS = frozenset(
 ADDRESS = frozenset("you your yours youre ur u tu toi te vous votre du dich dir dein ihr euch ti vosotros usted tus".split())
 QUOTES = '"«»“”„‟‹›'
 _WORD = re.compile(r"[^\W\d_]+")
+#: Two runs of letters with one digit or sign between them.
+_JOINED = re.compile(r"(?<![^\W\d_])(?=([^\W\d_]+(?:[\d_]|[^\w\s])[^\W\d_]+))")
 _SCHEMA = "doc_id long, score double, predicted int, hits array<struct<term:string,word:string,start:int,edits:int,weight:double>>"
-FEATURES = 5
+FEATURES = 3
+SHARE = 0.5  # of an exact hit, what a hit with an edit counts
 
 
 class Trie:
     """Terms and the automaton's walk. A term matches a whole word, or as a stem a word's beginning."""
 
-    def __init__(self, terms: list[tuple[str, bool]], fuzzy_from: int):
-        self.fuzzy_from = fuzzy_from
+    def __init__(self, terms: list[tuple[str, bool]], fuzzy_from: int, plain=frozenset(), strict=frozenset()):
+        """``plain`` words match without edits only, and so do the ``strict`` terms."""
+        self.fuzzy_from, self.plain, self.strict = fuzzy_from, plain, strict
         self.root: dict = {}
         for term, whole in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, whole)
-        # within one edit, a word begins with a term's two first characters or has its next three near them
+        # within one edit, a word begins with a term's two first characters or has its next three (two of a term of four) near them
         self.heads = {t[:2] for t, _ in terms}
-        self.mids = {t[2:5] for t, _ in terms if len(t) >= fuzzy_from}
+        self.mids = {t[2:5] for t, _ in terms if len(t) >= max(5, fuzzy_from)}
+        self.tails = {t[2:] for t, _ in terms if fuzzy_from <= len(t) < 5}
 
     def near(self, w: str) -> bool:
-        return w[:2] in self.heads or w[1:4] in self.mids or w[2:5] in self.mids or w[3:6] in self.mids
+        if w[:2] in self.heads or w[1:4] in self.mids or w[2:5] in self.mids or w[3:6] in self.mids:
+            return True
+        return bool(self.tails) and any(w[k : k + n] in self.tails for k in (1, 2, 3) for n in (1, 2))
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term that the word matches with the fewest edits (the longest of several), or None."""
@@ -56,7 +64,7 @@ class Trie:
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        end, best = 1 << len(word), None
+        end, best, free = 1 << len(word), None, word not in self.plain
         stack = [(self.root, 1, 3)]
         while stack:
             node, r0, r1 = stack.pop()
@@ -64,7 +72,7 @@ class Trie:
                 if c == "":
                     term, whole = below
                     goal = end if whole else -1
-                    edits = 0 if r0 & goal else 1 if len(term) >= self.fuzzy_from and r1 & goal else 2
+                    edits = 0 if r0 & goal else 1 if free and len(term) >= self.fuzzy_from and r1 & goal and term not in self.strict else 2
                     if edits < 2 and (best is None or (edits, -len(term)) < (best[1], -len(best[0]))):
                         best = (term, edits)
                     continue
@@ -79,27 +87,43 @@ class Trie:
 class Scorer:
     """Terms, context windows and the logistic model; small, and sent to the workers as it is."""
 
-    def __init__(self, terms, weights=None, bias=-4.0, fuzzy_from=6, window=8):
-        self.terms, self.fuzzy_from, self.window = terms, fuzzy_from, window
+    def __init__(self, terms, weights=None, bias=-4.0, fuzzy_from=4, window=8, plain=frozenset(), strict=frozenset()):
+        self.terms, self.fuzzy_from, self.window, self.plain, self.strict = terms, fuzzy_from, window, plain, strict
         self.weights = np.zeros(FEATURES) if weights is None else weights
-        self.bias, self.trie, self.known = bias, Trie(terms, fuzzy_from), {}
+        self.bias, self.trie, self.known = bias, Trie(terms, fuzzy_from, plain, strict), {}
+
+    @property
+    def state(self) -> tuple:
+        """The arguments that make this scorer again."""
+        return self.terms, self.weights, self.bias, self.fuzzy_from, self.window, self.plain, self.strict
+
+    def _match(self, w: str) -> tuple[str, int] | None:
+        if w not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[w] = self.trie.match(w)
+        return self.known[w]
 
     def hits(self, text: str) -> list[tuple[str, str, int, int, float]]:
         """(term, word, start, edits, weight) of each hit in order."""
         low = text.lower()
-        known, found = self.known, False
-        for w in set(_WORD.findall(low)):
-            if w not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[w] = self.trie.match(w)
-            found = found or known[w] is not None
+        found = False
+        for w in {*_WORD.findall(low), *_JOINED.findall(low)}:
+            found = self._match(w) is not None or found
         if not found:
             return []
         spans = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
-        out = []
+        out, past = [], 0
         for i, (w, a, b) in enumerate(spans):
-            got = known.get(w) if w in known else self.trie.match(w)
+            if a < past:
+                continue  # the second half of a joined word
+            got = self._match(w)
+            if (got is None or got[1]) and i + 1 < len(spans) and spans[i + 1][1] == b + 1 and not low[b].isspace():
+                # a digit or sign inside the word, unless the next run is a term as it stands
+                joined, after = self._match(low[a : spans[i + 1][2]]), self._match(spans[i + 1][0])
+                if joined and (after is None or after[1]):
+                    got, b = joined, spans[i + 1][2]
+                    w, past = low[a:b], b
             if got is None:
                 continue
             lo, hi = max(0, i - self.window), min(len(spans), i + self.window + 1)
@@ -112,13 +136,16 @@ class Scorer:
         return out
 
     def features(self, hits) -> list[float]:
-        exact = sum(h[4] for h in hits if not h[3])
-        fuzzy = sum(h[4] for h in hits if h[3])
-        kinds = {h[0] for h in hits if not h[3]}
-        return [math.log1p(exact), math.log1p(fuzzy), float(min(1.0, exact)), math.log1p(len(kinds)), float(min(1.0, fuzzy))]
+        """Of exact hits and, as a share of one each, those with an edit: their sum, whether any, and the terms hit."""
+        total, kinds = 0.0, {}
+        for term, _, _, edits, weight in hits:
+            part = SHARE if edits else 1.0
+            total += part * weight
+            kinds[term] = min(1.0, part + kinds.get(term, 0.0))
+        return [math.log1p(total), min(1.0, total), math.log1p(sum(kinds.values()))]
 
     def score(self, hits) -> float:
-        z = self.bias + float(np.dot(self.weights, self.features(hits)))
+        z = self.bias + float(np.dot(self.weights[:FEATURES], self.features(hits)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -162,11 +189,36 @@ def learn_terms(texts: list[str], toxic: list[int], share: float = 0.02, precisi
     return out
 
 
+def plain_words(texts: list[str], toxic: list[int], terms: list[tuple[str, bool]], fuzzy_from: int = 4, rate: float = 0.001) -> tuple[frozenset, frozenset]:
+    """Words one edit from a term that two clean texts hold, and the terms whose other such words more than ``rate`` of them (and 2) hold.
+
+    Near the terms of the second kind clean texts always have words not seen before, so that an edit there tells nothing.
+    Copies count once.
+    """
+    words: Counter = Counter()
+    clean = {t for t, y in zip(texts, toxic) if not y}
+    for text in clean:
+        low = text.lower()
+        words.update({*_WORD.findall(low), *_JOINED.findall(low)})
+    plain, strict = frozenset(), frozenset()
+    while True:  # a word near a strict term may be near another
+        trie = Trie(terms, fuzzy_from, plain, strict)
+        known = {w: got[0] for w in words if (got := trie.match(w)) and got[1]}
+        plain |= {w for w in known if words[w] > 1}
+        rest = Counter(t for w, t in known.items() if words[w] == 1)
+        more = {t for t, n in rest.items() if n > max(2, rate * len(clean))}
+        if not more:
+            return plain, strict
+        strict |= more
+
+
 def fit(texts: list[str], toxic: list[int], **how) -> Scorer:
     """Learn the terms and the logistic model (Newton's method with a ridge)."""
     if not sum(toxic):
         return Scorer([], bias=-4.0)
-    scorer = Scorer(learn_terms(texts, toxic, **how))
+    terms = learn_terms(texts, toxic, **how)
+    plain, strict = plain_words(texts, toxic, terms)
+    scorer = Scorer(terms, plain=plain, strict=strict)
     x = np.array([[1.0, *scorer.features(scorer.hits(t))] for t in texts])
     y, w, ridge = np.array(toxic, float), np.zeros(FEATURES + 1), np.r_[1e-3, np.full(FEATURES, 0.05)]
     for _ in range(50):
@@ -176,7 +228,7 @@ def fit(texts: list[str], toxic: list[int], **how) -> Scorer:
         if np.abs(step).max() < 1e-8:
             break
     # more hits never make a text less toxic; without hits it is not toxic
-    return Scorer(scorer.terms, np.maximum(w[1:], 0), min(float(w[0]), -0.5))
+    return Scorer(terms, np.maximum(w[1:], 0), min(float(w[0]), -0.5), plain=plain, strict=strict)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Scorer:
@@ -203,7 +255,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
     change nothing: each row is scored by its text alone.
     """
     ship(spark)
-    state = (scorer.terms, scorer.weights, scorer.bias, scorer.fuzzy_from, scorer.window)
+    state = scorer.state
 
     def run(it):
         own = Scorer(*state)
@@ -223,7 +275,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
 def reject(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
     """The rows of ``docs`` that score under 0.5, with all their columns; nothing moves between workers."""
     ship(spark)
-    state = (scorer.terms, scorer.weights, scorer.bias, scorer.fuzzy_from, scorer.window)
+    state = scorer.state
 
     def run(it):
         own = Scorer(*state)

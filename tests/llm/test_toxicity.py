@@ -79,3 +79,32 @@ def test_held_out_accuracy(spark):
     held = labels.where("crc32(cast(doc_id AS string)) % 5 = 0").select("doc_id", "toxic")
     got = tox.toxicity(spark, docs.join(held, "doc_id").select("doc_id", "text"), m).join(held, "doc_id").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.95
+
+
+def test_misspelled_terms_change_the_verdict():
+    rows = sample()
+    m = tox.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    # a letter less, a digit, a sign, a letter more, and a term of five letters
+    for word in ("trsh", "tr4sh", "tr@sh", "traash", "vi1estabc", "v-ilestabc"):
+        assert m.hits(f"some {word} here")[0][3] == 1
+    assert m.score(m.hits("tr4sh, vi1estxyz, trsh and vilfestabc here")) >= 0.5 > m.score(m.hits("some kind words here"))
+    one, exact = m.score(m.hits("some tr4sh here")), m.score(m.hits("some trash here"))
+    assert m.score([]) < one < exact
+
+
+def test_joined_words_keep_their_exact_terms():
+    s = tox.Scorer([("idiot", True), ("trash", True)])
+    assert [h[:4] for h in s.hits("id1ot idiot-like l'idiot trash_idiot x")] == [("idiot", "id1ot", 0, 1), ("idiot", "idiot", 6, 0), ("idiot", "idiot", 19, 0), ("trash", "trash", 25, 0), ("idiot", "idiot", 31, 0)]
+
+
+@given(st.text("scumlower1", max_size=8))
+def test_short_terms_against_dynamic_programming(word):
+    got = tox.Trie([("scum", True), ("lower", False), ("use", True)], 4).match(word)
+    best = [d for term, whole in (("scum", True), ("lower", False), ("use", True)) if (d := edits(term, word, not whole)) == 0 or d == 1 and len(term) >= 4]
+    assert (got and got[1]) == (min(best) if best else None)
+
+
+def test_words_of_clean_texts_are_not_misspellings():
+    rows = sample() + [(3000 + i, f"the crash of clean text {i}", 0) for i in range(5)]
+    m = tox.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    assert "crash" in m.plain and m.hits("a crash and a crash") == [] and m.hits("a trxsh")[0][3] == 1
