@@ -33,10 +33,17 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|title|textarea|select|button)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>?|<(?P<end>/)?(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/)?(?P<tag2>[a-zA-Z][\w:-]*)[^>]*>?|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Elements without text of the page: left out with all they hold if they are closed, else their start tags alone.
+_SKIPPED = frozenset("noscript template svg iframe object title textarea select button".split())
+_SKIP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/)?(?P<tag>{'|'.join(sorted(_SKIPPED))})(?=[\s/>])(?:(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^>]*>)",
+    re.S | re.I,
+)
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAMES = re.compile(r"[a-zA-Z]+")
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
@@ -49,6 +56,23 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _skips(page: str) -> dict[int, int]:
+    """Where the closed elements of ``_SKIPPED`` begin and end. An end tag belongs to the last open start tag of its name; ``<svg/>`` is empty."""
+    found, open_at = {}, {}
+    for m in _SKIP.finditer(page):
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        if m["end"]:
+            if open_at.get(tag):
+                found[open_at[tag].pop()] = m.end()
+        elif tag == "svg" and (m["attrs"] or "").endswith("/"):
+            found[m.start()] = m.end()
+        else:
+            open_at.setdefault(tag, []).append(m.start())
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: character references decoded, white space runs one space, empty ones left out."""
     out: list[Block] = []
@@ -65,7 +89,9 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    skips, pos = _skips(page), 0
+    while m := _TOKEN.match(page, pos):
+        pos = m.end()
         text = m["text"]
         if text is not None:
             parts.append(text)
@@ -74,10 +100,15 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
-            if m["raw"] is None or m["raw"].lower() in ("title", "textarea", "select", "button"):
+            if m["raw"] is None:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag in _SKIPPED and not (m["end"] or m["end2"]):
+            pos = skips.get(m.start(), pos)
+            if tag in ("title", "textarea", "select", "button"):
+                parts.append(" ")
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")

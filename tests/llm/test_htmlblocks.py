@@ -67,3 +67,23 @@ def test_rows(spark):
     got = sorted((r.page_id or -1, r.n_chars == len(r.text), r.text[:3]) for r in hb.extract(spark, df).collect())
     assert got == [(-1, True, ""), (1, True, "Big"), (1, True, "Big")]
     assert hb.extract(spark, df.limit(0)).count() == 0
+
+
+def test_elements_without_text_swallow_no_more_than_themselves():
+    texts = lambda x: [b.text for b in hb.blocks(x)]
+    main = "<p>main</p>"
+    for name in ("svg", "button", "select", "object", "iframe", "template", "noscript", "title", "textarea"):
+        assert texts(f"<p>a</p><{name}-x n='x'></{name}-x>{main}") == ["a", "main"]
+        assert texts(f"<p>a</p><{name} class='i'>{main}<p>b</p>") == ["a", "main", "b"]
+        assert texts(f"<p>a</p><{name}>{main}<{name}>gone</{name.upper()} ><p>b</p>") == ["a", "main", "b"]
+        assert texts(f"<p>a <{name} t='>'>gone</{name}>b</p>{main}") == ["a b", "main"]
+    assert texts(f'<p>a <svg class="i"/>b</p>{main}<svg><title>gone</title></svg><p>c</p>') == ["a b", "main", "c"]
+    assert texts(f"<svg>x<svg>y</svg>z</svg>{main}<template><template>x</template>y</template>") == ["main"]
+    assert texts(f"<button>{main}<script>'</button>'</script><!-- </button> --><p>b</p>") == ["main", "b"]
+    assert texts(f"<scripty>a</scripty>{main}<script>x {main}") == ["a", "main"]
+
+
+def test_the_tables_pages_have_the_same_blocks_as_their_plain_tags(spark):
+    page = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").first().html
+    with_icons = page.replace("<p>", '<svg-icon name="x"></svg-icon><svg class="i"/><button hidden><p>')
+    assert [b.text for b in hb.blocks(with_icons)] == [b.text for b in hb.blocks(page)]
