@@ -45,7 +45,7 @@ def ship(spark: SparkSession) -> SparkSession:
         with zipfile.ZipFile(made, "w") as z:
             for folder, _, names in os.walk(os.path.join(top, "lakeloom")):
                 for name in names:
-                    if name.endswith((".py", ".npz")):
+                    if name.endswith((".py", ".npz", ".txt")):
                         z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
         sc.addPyFile(made)
         sc._lakeloom_shipped = True

@@ -33,6 +33,19 @@ def canonical(text: Column) -> Column:
     return F.trim(x)
 
 
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line that has one, from one pass over the whole text."""
+    x = F.translate(text, _UPPER, _LOWER)
+    x = F.regexp_replace(x, COPYRIGHT, " ")
+    x = F.regexp_replace(x, r"[^a-z0-9\n\x{80}-\x{10FFFF}]+", " ")
+    # each line has spaces of its own around it and around what separates words
+    x = F.concat(F.lit(" "), F.replace(x, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    x = F.regexp_replace(x, " {2,}", " ")
+    for a, b in SPELLINGS:
+        x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.filter(F.transform(F.split(x, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+
+
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """(digest, license, whole) of known licences: whole texts, and one-line notices."""
     rows = [(k, v, True) for k, v in (TEXTS if texts is None else texts).items()] + [(k, v, False) for k, v in (NOTICES if notices is None else notices).items()]
@@ -51,9 +64,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     large = size > 100_000
     near = (lambda x: x) if large else F.broadcast
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("canon", canonical(F.col("text")))
-    # every known notice speaks of a license; other lines need no digest
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[sc]e|public domain"))
-    text = text.select("doc_id", F.when(F.length("canon") > 0, F.sha2("canon", 256)).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
+    text = text.select("doc_id", F.when(F.length("canon") > 0, F.sha2("canon", 256)).alias("digest"), F.transform(canonical_lines(F.col("text")), lambda x: F.sha2(x, 256)).alias("lines"))
     whole = text.join(near(known.where("whole").select("digest", "license")), "digest", "left")
     notices = known.where("NOT whole").select("digest", "license")
     if size <= 1000:

@@ -1,8 +1,10 @@
-"""Public licence texts and the one-line notices that stand in for them.
+"""Public licence texts and the one-line notices that stand in for them. Long texts are files in ``licenses``.
 
 A name's part after # tells several texts of one licence apart.
 """
 
+import pkgutil
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -43,6 +45,11 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+
+def _full(name: str) -> str:
+    return pkgutil.get_data("lakeloom.llm", f"licenses/{name}.txt").decode("utf-8")
+
+
 TEXTS = {
     "MIT": _MIT,
     "MIT#titled": "MIT License\n\n" + _MIT,
@@ -56,6 +63,7 @@ TEXTS = {
     "0BSD": _0BSD + _ISC_END,
     "Zlib": _ZLIB,
     "Apache-2.0": _APACHE_NOTICE,
+    **{f"{name}#full": _full(name) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")},
 }
 
 NOTICES = {

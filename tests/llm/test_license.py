@@ -31,3 +31,27 @@ def test_known_tables_of_any_size(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []).count() == 0
+
+
+def test_notices_of_any_words_and_spelling(spark):
+    known = {"CC0-1.0": "Dedicated to the public domain under CC0 1.0.", "X": "Free for all, favour us"}
+    text = "a\nDedicated to the public-domain under CC0 1.0.\n\tdedicated to the PUBLIC  domain under cc0 1.0\n\n* free for all: favor us\nFree for all\nfavour us"
+    got = scan(spark, [(1, text)], texts={}, notices=known).first()
+    assert (got.notices, got.n_lines) == (["CC0-1.0", "X"], 3)
+
+
+def test_lines_at_once_are_as_lines_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "\n\n", "a\nb", "sub licence\nsub\nlicense per cent per\ncent", "x licence licence y\n  (c) 2020 z\nCopyright q\r\nall rights reserved.\nwilful  É\tpublic-domain\n!\n©", "\ncopyright holder\x0bcopyright\rholder\u2028x"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    apart = F.filter(F.transform(F.split("text", "\n"), license.canonical), lambda x: x != "")
+    for r in df.select("text", license.canonical_lines(F.col("text")).alias("got"), apart.alias("want")).collect():
+        assert r.got == r.want
+
+
+def test_full_texts(spark):
+    whole = {k: v for k, v in TEXTS.items() if k.endswith("#full")}
+    assert {k.split("#")[0] for k in whole} == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    got = scan(spark, [(k, v.upper()) for k, v in enumerate(whole.values())]).collect()
+    assert [r.license for r in sorted(got, key=lambda r: r.doc_id)] == [k.split("#")[0] for k in whole]
