@@ -90,6 +90,22 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``left`` joined with ``right``: each key at most once in ``right``, with ``c``, how many rows of ``left`` have it.
+
+    ``total`` is no less than the sum of ``c``, so at most 16 keys a partition can have more than their sixteenth of a partition's
+    share. Those are broadcast, and the rows of ``left`` that have them stay where they are; the rest meets by shuffle. ``right`` is read
+    several times and should be a table.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(1, total // (16 * parts))
+    hot, cold = right.where(F.col("c") > least).drop("c"), right.where(F.col("c") <= least).drop("c")
+    if hot.isEmpty():
+        return left.join(cold.hint("shuffle_hash"), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(cold.hint("shuffle_hash"), keys))
+
+
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 

@@ -8,8 +8,9 @@ cover what they are. One of each region that differs under a range's common key
 suffixes are sorted, a stack scan of their common prefixes gives the intervals of the prefix tree, and those with differing
 left neighbours are maximal repeats, reported with every occurrence.
 
-Groups over ``group`` regions (a passage in very many settings) are compared by window hashes instead, which are
-counted with map-side sums and need no two contexts in one task; the result is the same.
+Groups over ``group`` regions (a passage in very many settings) would not fit one task: their suffixes are dealt by the 128-bit
+hash of their first ``least`` bytes and counted with map-side sums. All equality of contexts and regions is that of 128 bits too, so
+the result is the same at every size. Keys that very many anchors share are looked up by broadcast, and their rows stay where they are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import textkit
-from lakeloom.llm.common import Workspace, slices
+from lakeloom.llm.common import Workspace, counted_join, slices
 
 _ANCHORS = "ah long, ch long, doc_id long, t long, pos int, size int"
 _SPANS = "doc_id long, t long, lo int, hi int"
@@ -66,10 +67,6 @@ def anchor_positions(raw: bytes, least: int, k: int) -> np.ndarray:
     return np.flatnonzero(high == h)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _anchors(least: int, k: int):
     reach = least - k
 
@@ -164,7 +161,11 @@ def maximal_repeats(texts: list[bytes], place: list[tuple], least: int) -> Itera
     wide = int(size.max())
     flat = np.frombuffer(b"".join(texts) + bytes(wide), np.uint8)
     begin, long = (np.cumsum(size) - size)[owner] + first, size[owner] - first
+    short = np.argsort(long, kind="stable")  # a suffix comes before those that it begins
+    begin, long, owner, first = begin[short], long[short], owner[short], first[short]
     rows = np.lib.stride_tricks.sliding_window_view(flat, wide)[begin]
+    for a in range(0, len(rows), 32768):  # and ends with its own text
+        rows[a : a + 32768][np.arange(wide) >= long[a : a + 32768, None]] = 0
     order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
     begin, long, owner, first = begin[order], long[order], owner[order], first[order]
     lcp = np.zeros(len(order) + 1, np.int64)
@@ -247,13 +248,16 @@ def union(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 def _windows(least: int):
     def run(it):
+        digest = xxhash.xxh3_128_intdigest
         for b in it:
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for doc_id, t, lo, region in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "lo", "region"))):
                 for s in range(len(region) - least + 1):
-                    for c, v in zip(cols, (_signed(xxhash.xxh3_64_intdigest(region[s : s + least])), doc_id, t, lo + s)):
+                    h = digest(region[s : s + least])
+                    for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), doc_id, t, lo + s)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["wh", "doc_id", "t", "lo"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], ["w1", "w2", "doc_id", "t", "lo"])
 
     return run
 
@@ -274,14 +278,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     ws = ws or Workspace(spark, "suffix", "zstd")
     text = _keyed(docs)
     anchors = ws.save(text.mapInArrow(_anchors(least, k), _ANCHORS), "anchors")
-    again = anchors.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1").select("ah", (F.col("x") == F.col("y")).alias("single"))
-    found = ws.save(anchors.join(again.hint("shuffle_hash"), "ah"), "found")
-    ws.drop("anchors")
+    again = anchors.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1").select("ah", "c", (F.col("x") == F.col("y")).alias("single"))
+    total = anchors.count()
+    found = ws.save(counted_join(anchors, ws.save(again, "again"), ["ah"], total), "found")
+    ws.drop("anchors", "again")
     ws.release()
     some = lambda *names: [F.first(c).alias(c) for c in names]  # noqa: E731  all of one row
     several = found.where("NOT single")
     kinds = ws.save(several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), *some("doc_id", "t", "pos", "size")), "kinds")
-    alike = several.join(kinds.where("c > 1").select("ah", "ch").hint("shuffle_hash"), ["ah", "ch"], "left_semi")
+    alike = counted_join(several, kinds.where("c > 1").select("ah", "ch", "c"), ["ah", "ch"], total)
     lo, hi = F.greatest(F.col("pos") - (least - k), F.lit(0)).alias("lo"), F.least(F.col("pos") + least, F.col("size")).alias("hi")
     direct = found.where("single").unionByName(alike).select("doc_id", "t", lo, hi).where(F.col("hi") - F.col("lo") >= least)
     want = kinds.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", lo, hi)).alias("want"))
@@ -293,7 +298,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     parts = ws.save(contexts.mapInArrow(_parts(least, k), _PARTS), "parts")
     regions = ws.save(parts.groupBy("key", "rh").agg(F.count(F.lit(1)).alias("c"), *some("doc_id", "t", "pos", "lo", "hi")), "regions")
     ws.release()
-    direct = direct.unionByName(parts.join(regions.where("c > 1").select("key", "rh").hint("shuffle_hash"), ["key", "rh"], "left_semi").select("doc_id", "t", "lo", "hi"))
+    direct = direct.unionByName(counted_join(parts, regions.where("c > 1").select("key", "rh", "c"), ["key", "rh"], parts.count()).select("doc_id", "t", "lo", "hi"))
     direct = ws.save(_by_text(direct), "direct")
     ws.drop("found", "kinds", "parts")
     ws.release()
@@ -309,11 +314,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     spans = usual.mapInArrow(_repeats(least, suffixes), _SPANS)
     large = left.where(F.col("c") > group).drop("c")
     if not large.isEmpty():
-        windows = ws.save(large.mapInArrow(_windows(least), "wh long, doc_id long, t long, lo int"), "windows")
-        ends = windows.groupBy("wh").agg(F.min(F.struct("doc_id", "t", "lo")).alias("x"), F.max(F.struct("doc_id", "t", "lo")).alias("y")).where("x <> y").select("wh")
-        spans = spans.unionByName(windows.join(ends, "wh", "left_semi").select("doc_id", "t", "lo", (F.col("lo") + least).alias("hi")))
+        windows = ws.save(large.mapInArrow(_windows(least), "w1 long, w2 long, doc_id long, t long, lo int"), "windows")
+        place = F.struct("doc_id", "t", "lo")
+        ends = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y").select("w1", "w2", "c")
+        spans = spans.unionByName(counted_join(windows, ws.save(ends, "ends"), ["w1", "w2"], windows.count()).select("doc_id", "t", "lo", (F.col("lo") + least).alias("hi")))
     spans = ws.save(_by_text(spans).unionByName(direct).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    ws.drop("direct", "left", "windows")
+    ws.drop("direct", "left", "windows", "ends")
     ws.release()
     return spans
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -47,6 +48,65 @@ def test_maximal_repeats():
     assert all(len({a[s : s + d] if o == 0 else b[s : s + d] for o, s in occ}) == 1 for d, occ in found)
 
 
+def cover(texts, least):
+    seen = Counter(b[s : s + least] for b in texts for s in range(len(b) - least + 1))
+    out = [bytearray(len(b)) for b in texts]
+    for b, o in zip(texts, out):
+        for s in range(len(b) - least + 1):
+            if seen[b[s : s + least]] > 1:
+                o[s : s + least] = b"\1" * least
+    return out
+
+
+def covered_by_repeats(texts, least):
+    out = [bytearray(len(b)) for b in texts]
+    for depth, owner, first in suffix.maximal_repeats(texts, [(i, 0) for i in range(len(texts))], least):
+        for i, s in zip(owner.tolist(), first.tolist()):
+            out[i][s : s + depth] = b"\1" * depth
+    return out
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"a\x00", b"\x00\x01"])
+def test_few_letters_and_passages_at_ends(alphabet):
+    """Suffixes that end with their texts, where the next text goes on as another one does, and bytes of zero."""
+    for seed in range(300):
+        r = random.Random(seed)
+        some = lambda lo, hi, more=b"": bytes(r.choice(alphabet + more) for _ in range(r.randint(lo, hi)))  # noqa: E731, B023
+        least = r.choice((3, 8, 20))
+        passage = some(least, least)
+        for texts in ([some(0, 40) for _ in range(r.randint(1, 6))], [some(0, 2, b"q") + passage + some(0, 3, b"x") for _ in range(r.randint(2, 9))]):
+            assert covered_by_repeats(texts, least) == cover(texts, least)
+
+
+def test_passages_between_equal_and_other_neighbours(spark):
+    """Triples ..a+P+x+a.., ..b+P+x+b.., ..+P of a random passage P of two letters."""
+    r, texts = random.Random(5), {}
+    some = lambda n, letters="ab": "".join(r.choice(letters) for _ in range(n))
+    for k in range(300):
+        passage, x, a, b, c = some(200), r.choice("xyz"), some(30, "defg"), some(30, "hijk"), some(30, "lmno")
+        texts |= {3 * k: f"{a}{passage}{x}{a}", 3 * k + 1: f"{b}{passage}{x}{b}", 3 * k + 2: f"{c}{passage}"}
+    got = {i.doc_id: (i.n_bytes, i.n_removed, i.n_spans, i.kept_sha256) for i in suffix.without_repeats(spark, frame(spark, texts)).collect()}
+    assert got == dict(zip(texts, brute(list(texts.values()), 200)))
+
+
+def test_keys_of_many_rows_are_looked_up_by_broadcast(spark):
+    from lakeloom.llm.common import counted_join
+
+    left = spark.createDataFrame([(0 if i < 900 else i, i) for i in range(1500)], "k int, v int")
+    right = spark.createDataFrame([(0, 900, "hot"), (901, 1, "a"), (902, 1, "b"), (5000, 0, "none")], "k int, c int, x string")
+    got = counted_join(left, right, ["k"], 1500)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((0 if i < 900 else i, i, "hot" if i < 900 else "a" if i == 901 else "b") for i in (*range(900), 901, 902))
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    long = " ".join(word() for _ in range(60_000))
+    texts = {1: long, 2: "x" + long[1000:120_000] + "y", 3: "ab" * 50_000}
+    got = {i.doc_id: (i.n_bytes, i.n_removed, i.n_spans, i.kept_sha256) for i in suffix.without_repeats(spark, frame(spark, texts)).collect()}
+    assert got == dict(zip(texts, brute(list(texts.values()), 200)))
+
+
 def test_one_place_twice_is_no_repeat():
     assert list(suffix.maximal_repeats([b"abcdefghijkl", b"cdefghijkl"], [(0, 0), (0, 2)], 5)) == []
 
