@@ -110,7 +110,8 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 
     Alternates the large-star and small-star steps, each a grouped minimum and a join, until the edges stay
-    the same; then every edge is (node, smallest). Nothing is gathered on the driver but two sums a round.
+    the same; then every edge is (node, smallest). Nothing is gathered on the driver but two sums a round, and the
+    edges of a node of very many stay where they are (``counted_join``).
     Nulls and loops are ignored; an empty input gives an empty result.
     """
     e = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
@@ -119,16 +120,17 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
         return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     was, k = mark(e), 0
+    lowest = (F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        k += 1
-        e_next = ws.save(low.select("u", F.col("m").alias("v")).unionByName(near).distinct(), f"{name}{k}")
-        ws.drop(f"{name}{k - 1}")
-        e, now = e_next, mark(e_next)
+        low = ws.save(both.groupBy("u").agg(*lowest).select("u", F.least("u", "m").alias("m"), "c"), f"{name}{k}low")
+        large = counted_join(both.where("v > u"), low, ["u"], 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = ws.save(large, f"{name}{k}large")
+        low = ws.save(large.groupBy("u").agg(*lowest), f"{name}{k}least")
+        near = counted_join(large, low, ["u"], large.count()).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        e_next = ws.save(low.select("u", F.col("m").alias("v")).unionByName(near).distinct(), f"{name}{k + 1}")
+        ws.drop(f"{name}{k}", f"{name}{k}low", f"{name}{k}large", f"{name}{k}least")
+        k, e, now = k + 1, e_next, mark(e_next)
         if now == was:
             break
         was = now

@@ -194,7 +194,7 @@ def near_vectors(
             rows, keep = _unit(b.column("embedding").to_pylist())
             ids, labels = b.column("vec_id").take(pa.array(keep, pa.int64())), b.column("label").take(pa.array(keep, pa.int64()))
             u = [np.frombuffer(r.tobytes(), np.uint64) for r in rows]
-            d1, d2 = textkit.set_digest([textkit.mix(x + np.arange(len(x), dtype=np.uint64) * textkit._STEP[3]) for x in u])
+            d1, d2 = textkit.set_digest([textkit.mix(x + np.arange(len(x), dtype=np.uint64) * textkit._STEP[3])[None] for x in u])
             n = np.fromiter(map(len, rows), np.int64, len(rows))
             flat = np.concatenate(rows) if rows else np.zeros(0)
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))

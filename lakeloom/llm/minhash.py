@@ -8,6 +8,8 @@ Skew: equal sets are one class before any key is made. In a bucket of any size e
 turn out to be linked fall together and only those outside a bucket's largest component are compared further, with
 members of other components. So each pair of a bucket is either compared or already known to be connected,
 and no bucket is expanded into all its pairs while it holds together.
+
+Equal sets and links are told on 128-bit hashes of the shingles (two lanes of 64 bits, both of which must agree).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import textkit
-from lakeloom.llm.common import Workspace, components, long_list, slices
+from lakeloom.llm.common import Workspace, components, counted_join, long_list, slices
 
 _SIGNS = "doc_id long, n long, s1 long, s2 long, keys array<long>"
 
@@ -29,18 +31,18 @@ def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int, collections: int, width: int) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (digest of the set), keys (one for each collection)."""
+    """doc_id, n (set size), s1, s2 (128-bit digest of the set), keys (one for each collection)."""
 
     def run(it):
         hashes = textkit.MinHash(collections * width)
         for whole in it:
             for b in slices(whole, "text"):
                 sets = _sets(b, words)
-                m = hashes(sets).reshape(len(sets), collections, width)
+                m = hashes([x[0] for x in sets]).reshape(len(sets), collections, width)
                 key = np.zeros((len(sets), collections), np.uint64)
                 for j in range(width):
                     key = textkit.mix(key * textkit.U(3) + m[:, :, j])
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                n = np.array([x.shape[1] for x in sets], np.int64)
                 s1, s2 = textkit.set_digest(sets)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), long_list(key.ravel(), np.where(np.ones(len(n)), collections, 0))],
@@ -55,14 +57,14 @@ def _set_table(docs: DataFrame, words: int) -> DataFrame:
         for whole in it:
             for b in slices(whole, "text"):
                 sets = _sets(b, words)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), long_list(np.concatenate(sets), n)], ["doc_id", "set"])
+                n = np.array([x.shape[1] for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(long_list(np.concatenate([x[lane] for x in sets]), n) for lane in (0, 1))], ["doc_id", "set", "also"])
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+    return docs.mapInArrow(run, "doc_id long, set array<long>, also array<long>")
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 12, width: int = 2, rounds: int = 3, small: int = 32, block: int = 200_000
+    spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 12, width: int = 2, rounds: int = 3, small: int = 32, block: int = 200_000, most_ids: int = 1_000_000
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -73,12 +75,15 @@ def near_duplicates(
 
     Null text is empty text. A null doc_id has n_shingles, a null component and is kept. Repeated rows of one doc_id
     give a row each with the same component. Other columns are ignored; an empty table gives an empty result.
+
+    ``small``, ``rounds`` and ``block`` change the order of work, not the result. Texts stay where they are while the ids of
+    those to be compared are at most ``most_ids``, which are then broadcast; beyond that they are shuffled once.
     """
     ws = Workspace(spark, "minhash")
     signs = ws.save(signatures(docs, words, collections, width), "signs")
     # equal sets: one class, with the smallest doc_id for its name
     full = signs.where("n > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("s1", "s2", "n", F.col("r.doc_id").alias("rep"), "r.keys")
+    reps = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("r"), F.count(F.lit(1)).alias("c")).select("s1", "s2", "n", F.col("r.doc_id").alias("rep"), "r.keys", "c")
     reps = ws.save(reps, "reps")
     each = reps.select("rep", "n", F.posexplode("keys").alias("i", "k"))
     again = each.groupBy("i", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "k")
@@ -89,15 +94,17 @@ def near_duplicates(
     many = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     member = ws.save(member.join(many, "bucket", "left_semi"), "member")
     ws.drop("member0")
-    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = ws.save(member.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = ws.save(_set_table(text.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]) if _repeats(signs) else _set_table(text.join(wanted, "doc_id", "left_semi"), words), "sets")
+    text = text.join(F.broadcast(wanted) if wanted.count() <= most_ids else wanted, "doc_id", "left_semi")
+    sets = _set_table(text, words)
+    sets = ws.save(sets.dropDuplicates(["doc_id"]) if _repeats(signs) else sets, "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, na, b, nb): those linked, as (a, b)."""
-        x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
+        x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"), F.col("also").alias("ta"))
+        y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"), F.col("also").alias("tb"))
+        both = F.least(F.size(F.array_intersect("sa", "sb")), F.size(F.array_intersect("ta", "tb")))
         links = pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
         return ws.save(links, name)
 
@@ -135,21 +142,22 @@ def near_duplicates(
         group = components(ws, big.groupBy("bucket").agg(F.min("rep").alias("a")).join(big, "bucket").select("a", F.col("rep").alias("b")).distinct(), "grp")
         nodes = nodes.join(group, nodes.rep == group.node).select("rep", "n", "comp", F.col("component").alias("grp"))
         nodes = nodes.join(nodes.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb")), "grp")
-        nodes = nodes.join(reps.select("rep", "keys"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+        nodes = nodes.join(reps.select("rep", "keys"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "set", "also"), "rep")
         mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
         each = nodes.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        each = each.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "keys", "set")
+        each = each.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "keys", "set", "also")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         each = each.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
         links = links.unionByName(ws.save(each.mapInArrow(_blocks(percent), "a long, b long"), "blocklinks"))
         label = ws.save(components(ws, links, "last_"), "label")
     ws.drop("sets", "member")
-    comp = reps.select("s1", "s2", "n", "rep")
+    comp = reps.select("s1", "s2", "n", "rep", "c")
     if label is not None:
-        comp = comp.join(label, comp.rep == label.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("rep"))
-    out = signs.select("doc_id", "n", "s1", "s2").join(comp, ["s1", "s2", "n"], "left")
-    group = F.expr("CASE WHEN doc_id IS NULL THEN NULL WHEN n = 0 THEN doc_id ELSE rep END")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"))
+        comp = comp.join(label, comp.rep == label.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("rep"), "c")
+    comp = ws.save(comp, "classes")
+    out = counted_join(full.select("doc_id", "n", "s1", "s2"), comp, ["s1", "s2", "n"], full.count()).select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+    alone = signs.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = out.unionByName(alone)
     return ws.finish(out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
 
 
@@ -206,7 +214,7 @@ def _blocks(percent: int):
             shared = np.bitwise_count(bits[ys] & bits[x]).sum(axis=1, dtype=np.int64)
             for y in ys[100 * shared >= percent * (n[ys] + n[x] - shared)].tolist():
                 p, q = root(int(comp[x])), root(int(comp[y]))
-                if p != q:
+                if p != q and 100 * (also := len(np.intersect1d(both[x][9], both[y][9]))) >= percent * (n[x] + n[y] - also):
                     parent[p] = q
                     out.append((both[x][4], both[y][4]))
         return out
@@ -216,13 +224,13 @@ def _blocks(percent: int):
         for b in it:
             names = ("grp", "i", "j", "own", "rep", "n", "comp")
             plain = [b.column(c).to_pylist() for c in names]
-            keys, sets = b.column("keys"), b.column("set")
+            lists = [b.column(c) for c in ("keys", "set", "also")]
             for r, row in enumerate(zip(*plain)):
                 if row[:3] != key:
                     if held:
                         yield _edges(links(held))
                     held, key = [], row[:3]
-                held.append((*row, keys[r].values.to_numpy(), sets[r].values.to_numpy()))
+                held.append((*row, *(x[r].values.to_numpy() for x in lists)))
         if held:
             yield _edges(links(held))
 
