@@ -90,6 +90,11 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def near(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``ids``, a table of few columns, marked for broadcast while its rows, which are counted, are at most ``most``."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def counted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``left`` joined with ``right``: each key at most once in ``right``, with ``c``, how many rows of ``left`` have it.
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import textkit
 from lakeloom.llm.common import Workspace, components, counted_join, long_list, slices
+from lakeloom.llm.common import near as near_ids
 
 _SIGNS = "doc_id long, n long, s1 long, s2 long, keys array<long>"
 
@@ -96,7 +97,7 @@ def near_duplicates(
     ws.drop("member0")
     wanted = ws.save(member.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = text.join(F.broadcast(wanted) if wanted.count() <= most_ids else wanted, "doc_id", "left_semi")
+    text = text.join(near_ids(wanted, most_ids), "doc_id", "left_semi")
     sets = _set_table(text, words)
     sets = ws.save(sets.dropDuplicates(["doc_id"]) if _repeats(signs) else sets, "sets")
 

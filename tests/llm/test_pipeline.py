@@ -7,7 +7,7 @@ from lakeloom.llm import toxicity
 from tests.llm.test_decontam import PLAIN
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_minhash import brute as brute_copies
-from tests.llm.util import corpus, frame, word_sets
+from tests.llm.util import DOCS, corpus, frame, word_sets
 
 
 def test_stages(spark, tmp_path):
@@ -45,3 +45,32 @@ def test_stages(spark, tmp_path):
         pieces[r.doc_id] += r.length
     assert set(pieces) == set(after[3])
     assert pipe.run(spark, at).count() == state[4][1].count()
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null and very long texts, and tables without rows."""
+    at, line = str(tmp_path / "sf"), "a line that many texts share with each other"
+    rows = [(None, "no id but a text of some words here"), (None, None), (1, "one of two equal rows of one id and text"), (1, "one of two equal rows of one id and text"), (2, None), (2, ""), (3, "x y z " * 60_000), (4, "x y z " * 60_000)]
+    rows += [(10 + i, f"{line}\nown words of text number {i} and no other") for i in range(12)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{at}/documents.parquet"), []
+    for k, (_, f) in enumerate(pipe.STAGES):
+        f(spark, docs, at).write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+        seen.append(docs)
+    ids = lambda df: sorted(r.doc_id if r.doc_id is not None else -1 for r in df.select("doc_id").collect())
+    every = sorted(i if i is not None else -1 for i, _ in rows)
+    assert ids(seen[0]) == ids(seen[1]) == every
+    assert sum(line in (r.text or "") for r in seen[1].collect()) == 1
+    assert ids(seen[2]) == ids(seen[3]) == [-1, -1, 1, 2, 3, *range(10, 22)]
+    assert set(ids(seen[4])) == {-1, 1, 2, 3, *range(10, 22)}
+
+
+def test_empty_documents(spark, tmp_path):
+    at = str(tmp_path / "sf")
+    spark.createDataFrame([], DOCS).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert pipe.run(spark, at).count() == 0
