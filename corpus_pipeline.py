@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of ``documents``.
+
+Each row is scored, searched for leaks and packed by its own text, so rows of a null or repeated doc_id are rows like others there. Line
+dedup takes rows that agree in doc_id and text for one document, and a null doc_id for a document of its own. Near dedup keeps every
+row without an id and one row of each id that stays. Null texts are empty; they are never toxic, copies or leaks. Empty tables of
+documents, labels or items give empty results, no terms and no leaks.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontam, lines, minhash, packing, toxicity
-from lakeloom.llm.common import Workspace
+from lakeloom.llm.common import Workspace, near
 from lakeloom.llm.queries import tokenizer_path
 
 
@@ -31,12 +36,15 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (Jaccard 0.8) that of the smallest doc_id stays."""
+    """Of documents linked by five-word shingles (Jaccard 0.8) that of the smallest doc_id stays.
+
+    Of several rows of one doc_id any one stays. The ids are broadcast while there are few (see ``near``), and then no text moves.
+    """
     found = minhash.near_duplicates(spark, docs, words=5)
-    out = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    out = docs.join(near(found.where("NOT kept").select("doc_id").distinct()), "doc_id", "left_anti")
     again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
-        out = out.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = out.join(near(again), "doc_id", "left_anti").unionByName(docs.join(near(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(docs.columns)
 
 
