@@ -50,10 +50,63 @@ _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A text, how many of its characters are linked, its path's vector (shared by blocks of one path) and last named element."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("path", "last", "text", "linked")
+
+    def __init__(self, path: np.ndarray, last: str, text: str, linked: int):
+        self.path, self.last, self.text, self.linked = path, last, text, linked
+
+
+class _Path:
+    """The open elements. The hashed names of all steps are kept as running sums, so that a step costs the same at any depth."""
+
+    steps: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    known: dict[tuple[bytes, str], np.ndarray] = {}
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []  # (tag, what it and its attributes say)
+        self.named: list[str] = []  # of these, what is not empty
+        self.open: dict[str, int] = {}
+        self.sums = np.zeros(PATH // 2, np.int32)
+
+    @classmethod
+    def step(cls, says: str) -> tuple[np.ndarray, np.ndarray]:
+        if says not in cls.steps:
+            if len(cls.steps) > 50_000:
+                cls.steps.clear()
+            half = PATH // 2
+            every, last = np.zeros(half, np.int32), np.zeros(half, np.int32)
+            for name in says.split():
+                h = zlib.crc32(name.encode())
+                sign = 1 if h & 0x10000 else -1
+                every[h % half] += sign
+                last[h // half % half] += sign
+            cls.steps[says] = every, last
+        return cls.steps[says]
+
+    def push(self, tag: str, says: str) -> None:
+        self.stack.append((tag, says))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if says:
+            self.named.append(says)
+            self.sums += self.step(says)[0]
+
+    def pop(self) -> str:
+        tag, says = self.stack.pop()
+        self.open[tag] -= 1
+        if says:
+            self.named.pop()
+            self.sums -= self.step(says)[0]
+        return tag
+
+    def vector(self) -> np.ndarray:
+        key = self.sums.tobytes(), self.named[-1] if self.named else ""
+        if key not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[key] = np.clip(np.concatenate((self.sums, self.step(key[1])[1])), -3, 3).astype(np.int8)
+        return self.known[key]
 
 
 def _skips(page: str) -> dict[int, int]:
@@ -76,7 +129,8 @@ def _skips(page: str) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: character references decoded, white space runs one space, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (tag, what its attributes say)
+    path = _Path()
+    stack, opened = path.stack, path.open
     parts: list[str] = []
     linked = 0
 
@@ -85,7 +139,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(x for _, x in stack if x), text, min(linked, len(text))))
+                out.append(Block(path.vector(), path.named[-1].split(" ", 1)[0] if path.named else "", text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -95,7 +149,7 @@ def blocks(page: str) -> list[Block]:
         text = m["text"]
         if text is not None:
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if opened.get("a"):
                 linked += len(text.strip())
             continue
         tag = m["tag"] or m["tag2"]
@@ -115,52 +169,35 @@ def blocks(page: str) -> list[Block]:
         else:
             flush()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                while path.pop() != tag:
+                    pass
             continue
         if tag in VOID:
             continue
         shut = CLOSES.get(tag) or ({"p"} if tag in _ENDS_P else ())
-        while shut and stack and (stack[-1][0] in shut or (stack[-1][0] in INLINE and any(t in shut for t, _ in stack))):
-            stack.pop()
+        while shut and stack and (stack[-1][0] in shut or (stack[-1][0] in INLINE and any(opened.get(t) for t in shut))):
+            path.pop()
         attrs = m["attrs"] or ""
         says = "" if tag in INLINE else tag
         if attrs and tag not in INLINE:
             names = [n.lower() for a in _ATTR.finditer(attrs) for n in _NAMES.findall(a[1] or a[2] or a[3] or "")]
             says = " ".join([tag, *names, *(["hidden"] if _HIDDEN.search(attrs) else [])])
-        stack.append((tag, says))
+        path.push(tag, says)
     flush()
     return out
 
 
-_paths: dict[tuple, np.ndarray] = {}
 _slots: dict[str, int] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    if path not in _paths:
-        if len(_paths) > 50_000:
-            _paths.clear()
-        v = np.zeros(PATH, np.float32)
-        half = PATH // 2
-        for depth, step in enumerate(path, 1):
-            for name in step.split():
-                h = zlib.crc32(name.encode())
-                sign = 1.0 if h & 0x10000 else -1.0
-                v[h % half] += sign
-                if depth == len(path):
-                    v[half + h // half % half] += sign
-        _paths[path] = np.clip(v, -3, 3)
-    return _paths[path]
-
-
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row for each block."""
-    x = np.zeros((len(page), WIDTH), np.float32)
-    for i, b in enumerate(page):
-        x[i, :PATH] = _path_vector(b.path)
+def vectors(page: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """One row for each block from ``lo`` to ``hi``."""
+    some = page[lo:hi]
+    x = np.zeros((len(some), WIDTH), np.float32)
+    for r, b in enumerate(some):
+        i = lo + r
+        x[r, :PATH] = b.path
         words = b.text.split(" ")
         slots = []
         for w in words:
@@ -170,11 +207,10 @@ def vectors(page: list[Block]) -> np.ndarray:
                     _slots.clear()
                 s = _slots[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS
             slots.append(s)
-        x[i, PATH : PATH + WORDS] = np.minimum(np.bincount(slots, minlength=WORDS) / math.sqrt(len(words)), 1.5)
+        x[r, PATH : PATH + WORDS] = np.minimum(np.bincount(slots, minlength=WORDS) / math.sqrt(len(words)), 1.5)
         n = len(b.text)
-        last = b.path[-1].split()[0] if b.path else ""
-        x[i, PATH + WORDS :] = (
-            math.log1p(n) / 5, b.linked / n, (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?…", last in ("h1", "h2", "h3", "h4"), i / len(page), (len(page) - i) / 20 if len(page) - i < 20 else 1, 1,
+        x[r, PATH + WORDS :] = (
+            math.log1p(n) / 5, b.linked / n, (b.text.count(".") + b.text.count(",")) / len(words), b.text[-1] in ".!?…", b.last in ("h1", "h2", "h3", "h4"), i / len(page), (len(page) - i) / 20 if len(page) - i < 20 else 1, 1,
         )
     return x
 
@@ -227,29 +263,67 @@ class BiLSTM:
             out[:, s] = h
         return out
 
-    def chances(self, pages: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
-        """For each page the chance of each block to be main text. Pages of like length run together."""
+    def _both(self, first: list[np.ndarray], last: list[np.ndarray], state: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple]:
+        """Some steps of both directions at once: what each adds to the output (steps, direction, page).
+
+        ``first`` has the pages' rows in order, ``last`` those that the other direction reads, which come from the end; shorter ones are
+        filled up before the other direction begins and after the first ends.
+        """
+        k, n, t = self.hidden, len(first), max(map(len, first))
+        scale = np.concatenate((np.full(3 * k, 0.5, np.float32), np.ones(k, np.float32)))  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        pre, live = np.zeros((t, 2, n, 4 * k), np.float32), np.zeros((t, 2, n, 1), np.float32)
+        for r, (a, b) in enumerate(zip(first, last)):
+            pre[: len(a), 0, r], live[: len(a), 0, r] = (a @ self.w["xf"] + self.w["cf"]) * scale, 1
+            pre[t - len(b) :, 1, r], live[t - len(b) :, 1, r] = ((b @ self.w["xb"] + self.w["cb"]) * scale)[::-1], 1
+        weight, every = np.stack((self.w["hf"], self.w["hb"])) * scale, live.all(axis=(1, 2, 3)).tolist()
+        (h, c), out = state, np.empty((t, 2, n, k), np.float32)
+        for s in range(t):
+            z = np.matmul(h, weight)
+            z += pre[s]
+            np.tanh(z, out=z)
+            gates = z[:, :, : 3 * k] * 0.5
+            gates += 0.5
+            c2 = gates[:, :, k : 2 * k] * c
+            c2 += gates[:, :, :k] * z[:, :, 3 * k :]
+            h2 = np.tanh(c2)
+            h2 *= gates[:, :, 2 * k :]
+            h, c = (h2, c2) if every[s] else (np.where(live[s], h2, h), np.where(live[s], c2, c))
+            out[s] = h
+        return np.stack((out[:, 0] @ self.w["o"][:k], out[:, 1] @ self.w["o"][k:]), axis=1), (h, c)
+
+    def chances(self, pages: list, batch: int = 256, chunk: int = 4096) -> list[np.ndarray]:
+        """For each page, its blocks or their vectors, the chance of each block to be main text.
+
+        Pages of like length run together; one of more than ``chunk`` blocks alone, in pieces of that length from both ends.
+        """
+        rows = lambda page, lo, hi: page[lo:hi] if isinstance(page, np.ndarray) else vectors(page, lo, hi)
         out: list = [np.zeros(0)] * len(pages)
         order = sorted((j for j in range(len(pages)) if len(pages[j])), key=lambda j: len(pages[j]))
         at = 0
         while at < len(order):
-            most = max(1, min(batch, 200_000 // len(pages[order[min(at + batch, len(order)) - 1]])))
+            most = max(1, min(batch, 50_000 // len(pages[order[min(at + batch, len(order)) - 1]])))
             some = order[at : at + most]
-            at += most
-            t = len(pages[some[-1]])
-            x, mask = np.zeros((len(some), t, WIDTH), np.float32), np.zeros((len(some), t), np.float32)
-            for r, j in enumerate(some):
-                x[r, : len(pages[j])], mask[r, : len(pages[j])] = pages[j], 1
-            y = np.concatenate((self.run(x, mask, "f"), self.run(x, mask, "b")), axis=2) @ self.w["o"] + self.w["p"]
+            if len(pages[some[-1]]) > chunk:
+                some = some[:1]
+            at += len(some)
+            t, n = len(pages[some[-1]]), len(some)
+            state = np.zeros((2, n, self.hidden), np.float32), np.zeros((2, n, self.hidden), np.float32)
+            y = np.full((t, n), self.w["p"][0], np.float32)
+            for lo in range(0, t, t if n > 1 else chunk):
+                hi = t if n > 1 else min(t, lo + chunk)
+                first = [rows(pages[j], lo, hi) for j in some]
+                last = first if hi - lo == t else [rows(pages[j], t - hi, t - lo) for j in some]
+                got, state = self._both(first, last, state)
+                y[lo:hi] += got[:, 0]
+                y[t - hi : t - lo] += got[::-1, 1]
             for r, j in enumerate(some):
-                out[j] = _sigmoid(y[r, : len(pages[j])])
+                out[j] = _sigmoid(y[: len(pages[j]), r])
         return out
 
 
 def main_texts(pages: list[str], net: BiLSTM) -> list[str]:
     cut = [blocks(p) for p in pages]
-    chance = net.chances([vectors(b) for b in cut])
-    return ["\n".join(b.text for b, p in zip(page, c) if p >= 0.5) for page, c in zip(cut, chance)]
+    return ["\n".join(b.text for b, p in zip(page, c) if p >= 0.5) for page, c in zip(cut, net.chances(cut))]
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -87,3 +87,28 @@ def test_the_tables_pages_have_the_same_blocks_as_their_plain_tags(spark):
     page = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").first().html
     with_icons = page.replace("<p>", '<svg-icon name="x"></svg-icon><svg class="i"/><button hidden><p>')
     assert [b.text for b in hb.blocks(with_icons)] == [b.text for b in hb.blocks(page)]
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    """Tags that nest without end, end tags of nothing, and very many blocks."""
+    import time
+
+    net, n = hb.BiLSTM.load(), 100_000
+    took = time.time()
+    for page, many in (("<div>x" * n, n), ("<p>x</p>" * n, n), ("<div><a>" * n + "x", 1), ("<div>" * n + "</x>" * n + "y", 1), ("<p><b>" * n + "z", 1), ("<svg>" * n + "x" + "</svg>" * n, 0), ("<a '" * n, 0)):
+        found = hb.blocks(page)
+        assert len(found) == many and len(net.chances([found])[0]) == many
+    assert time.time() - took < 30  # some 6 s; at the square of it, hours
+    assert [b.path.tolist() for b in hb.blocks("<div>" * 9 + "<p>a</div><p>b")][0][:96] != [b.path.tolist() for b in hb.blocks("<p>b")][0][:96]
+
+
+def test_pieces_of_a_page_make_no_difference():
+    net = hb.BiLSTM.load()
+    x, _ = tb.labelled(20, 78)
+    want = net.chances(x)
+    for chunk in (1, 5, 8):
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(want, net.chances(x, chunk=chunk)))
+    for v, w in zip(x, want):  # as each direction by itself has it
+        a, m = v[None], np.ones((1, len(v)), np.float32)
+        y = np.concatenate((net.run(a, m, "f"), net.run(a, m, "b")), axis=2) @ net.w["o"] + net.w["p"]
+        assert np.allclose(hb._sigmoid(y[0]), w, atol=1e-5)
