@@ -3,15 +3,18 @@
 The lexicon is learned from labelled rows: word beginnings and whole words that toxic rows hold far more often. A text's
 distinct words are each turned into a bit-parallel Levenshtein automaton (Wu and Manber's form: one machine word of
 states for each number of edits) that walks the lexicon trie; terms within one edit match, a digit or sign inside a word
-included. Each hit is weighted by the words around it: quotation marks and verbs of reporting lower it, forms of address
-raise it. A hit with an edit counts a fixed share of an exact one. A logistic model on the weighted hits gives the score.
-Scoring has no shuffle.
+included. Each hit is weighted by its context: standing inside a quotation and verbs of reporting in the window of words around it lower
+it, forms of address there raise it. How much each does is learned with the rest, from a prior (``CONTEXT``) that few labelled
+quotations leave as it is. A hit with an edit counts a fixed share of an exact one. A logistic model on the weighted hits gives the
+score. Scoring has no shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -26,7 +29,11 @@ REPORTS = frozenset(
     "said says wrote writes called calls quoted quote quotes reported according dit écrit appelle cité selon sagte schrieb nannte zitiert laut dijo escribió llamó cita según".split()
 )
 ADDRESS = frozenset("you your yours youre ur u tu toi te vous votre du dich dir dein ihr euch ti vosotros usted tus".split())
-QUOTES = '"«»“”„‟‹›'
+#: Quotations: from an opening mark to the next closing one of its kind in the line, and lines that begin with >.
+QUOTATION = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|»[^«\n]*«|‹[^›\n]*›|^[ \t]*>.*$', re.M)
+#: The prior of the context's weights (a quotation, a report, an address), how far from it learning may go, and the choices.
+CONTEXT, SPREAD = (5.0, 1.5, 1.0), (1.5, 1.0, 1.0)
+CHOICES = ((0.0, 1.0, 2.5, 5.0, 7.0), (0.0, 0.75, 1.5, 3.0), (0.0, 1.0, 2.0))
 _WORD = re.compile(r"[^\W\d_]+")
 #: Two runs of letters with one digit or sign between them.
 _JOINED = re.compile(r"(?<![^\W\d_])(?=([^\W\d_]+(?:[\d_]|[^\w\s])[^\W\d_]+))")
@@ -87,15 +94,15 @@ class Trie:
 class Scorer:
     """Terms, context windows and the logistic model; small, and sent to the workers as it is."""
 
-    def __init__(self, terms, weights=None, bias=-4.0, fuzzy_from=4, window=8, plain=frozenset(), strict=frozenset()):
-        self.terms, self.fuzzy_from, self.window, self.plain, self.strict = terms, fuzzy_from, window, plain, strict
+    def __init__(self, terms, weights=None, bias=-4.0, fuzzy_from=4, window=8, plain=frozenset(), strict=frozenset(), context=CONTEXT):
+        self.terms, self.fuzzy_from, self.window, self.plain, self.strict, self.context = terms, fuzzy_from, window, plain, strict, context
         self.weights = np.zeros(FEATURES) if weights is None else weights
         self.bias, self.trie, self.known = bias, Trie(terms, fuzzy_from, plain, strict), {}
 
     @property
     def state(self) -> tuple:
         """The arguments that make this scorer again."""
-        return self.terms, self.weights, self.bias, self.fuzzy_from, self.window, self.plain, self.strict
+        return self.terms, self.weights, self.bias, self.fuzzy_from, self.window, self.plain, self.strict, self.context
 
     def _match(self, w: str) -> tuple[str, int] | None:
         if w not in self.known:
@@ -104,8 +111,8 @@ class Scorer:
             self.known[w] = self.trie.match(w)
         return self.known[w]
 
-    def hits(self, text: str) -> list[tuple[str, str, int, int, float]]:
-        """(term, word, start, edits, weight) of each hit in order."""
+    def found(self, text: str) -> list[tuple[str, str, int, int, tuple[bool, bool, bool]]]:
+        """(term, word, start, edits, (quoted, reported, addressed)) of each hit in order."""
         low = text.lower()
         found = False
         for w in {*_WORD.findall(low), *_JOINED.findall(low)}:
@@ -113,6 +120,8 @@ class Scorer:
         if not found:
             return []
         spans = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
+        quotes = [m.span() for m in QUOTATION.finditer(low)]
+        begins = [a for a, _ in quotes]
         out, past = [], 0
         for i, (w, a, b) in enumerate(spans):
             if a < past:
@@ -126,21 +135,26 @@ class Scorer:
                     w, past = low[a:b], b
             if got is None:
                 continue
-            lo, hi = max(0, i - self.window), min(len(spans), i + self.window + 1)
-            before, after = low[spans[lo][1] : a], low[b : spans[hi - 1][2]]
-            line = low[low.rfind("\n", 0, a) + 1 : a].lstrip()
-            quoted = line.startswith(">") or (any(q in before for q in QUOTES) and any(q in after for q in QUOTES))
-            near = {x for x, _, _ in spans[lo:hi]}
-            doubt = 1.5 * quoted + 1.0 * bool(near & REPORTS) - 1.0 * bool(near & ADDRESS)
-            out.append((got[0], w, a, got[1], 1 / (1 + math.exp(max(0.0, doubt) - 3))))
+            at = bisect_right(begins, a) - 1
+            near = {x for x, _, _ in spans[max(0, i - self.window) : i + self.window + 1]}
+            out.append((got[0], w, a, got[1], (at >= 0 and b <= quotes[at][1], bool(near & REPORTS), bool(near & ADDRESS))))
         return out
 
+    def weight(self, context: tuple[bool, bool, bool]) -> float:
+        """Of a hit in a context: near 1, or less as it is quoted and reported more than addressed to someone."""
+        doubt = self.context[0] * context[0] + self.context[1] * context[1] - self.context[2] * context[2]
+        return 1 / (1 + math.exp(max(0.0, doubt) - 3))
+
+    def hits(self, text: str) -> list[tuple[str, str, int, int, float]]:
+        """(term, word, start, edits, weight) of each hit in order."""
+        return [(*h[:4], self.weight(h[4])) for h in self.found(text)]
+
     def features(self, hits) -> list[float]:
-        """Of exact hits and, as a share of one each, those with an edit: their sum, whether any, and the terms hit."""
+        """Of exact hits and, as a share of one each, those with an edit: their sum by weight, whether any, and the terms hit."""
         total, kinds = 0.0, {}
         for term, _, _, edits, weight in hits:
-            part = SHARE if edits else 1.0
-            total += part * weight
+            part = (SHARE if edits else 1.0) * weight
+            total += part
             kinds[term] = min(1.0, part + kinds.get(term, 0.0))
         return [math.log1p(total), min(1.0, total), math.log1p(sum(kinds.values()))]
 
@@ -212,44 +226,61 @@ def plain_words(texts: list[str], toxic: list[int], terms: list[tuple[str, bool]
         strict |= more
 
 
-def fit(texts: list[str], toxic: list[int], **how) -> Scorer:
-    """Learn the terms and the logistic model (Newton's method with a ridge)."""
-    if not sum(toxic):
-        return Scorer([], bias=-4.0)
-    terms = learn_terms(texts, toxic, **how)
-    plain, strict = plain_words(texts, toxic, terms)
-    scorer = Scorer(terms, plain=plain, strict=strict)
-    x = np.array([[1.0, *scorer.features(scorer.hits(t))] for t in texts])
-    y, w, ridge = np.array(toxic, float), np.zeros(FEATURES + 1), np.r_[1e-3, np.full(FEATURES, 0.05)]
+def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the logistic model with a ridge, and its penalised log-likelihood."""
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return w, float(np.log(np.where(y > 0, p, 1 - p)).sum() - 0.5 * (ridge * w * w).sum())
+
+
+def fit(texts: list[str], toxic: list[int], **how) -> Scorer:
+    """Learn the terms, the context's weights and the logistic model (Newton's method with a ridge, for each choice of the former)."""
+    if not sum(toxic):
+        return Scorer([], bias=-4.0)
+    terms = learn_terms(texts, toxic, **how)
+    plain, strict = plain_words(texts, toxic, terms)
+    scorer = Scorer(terms, plain=plain, strict=strict)
+    found = [scorer.found(t) for t in texts]
+    y, ridge, best = np.array(toxic, float), np.r_[1e-3, np.full(FEATURES, 0.05)], None
+    x = np.zeros((len(texts), FEATURES + 1))
+    x[:, 0] = 1
+    for choice in itertools.product(*CHOICES):
+        scorer.context = choice
+        for r, hits in enumerate(found):
+            if hits:
+                x[r, 1:] = scorer.features([(*h[:4], scorer.weight(h[4])) for h in hits])
+        w, likely = _newton(x, y, ridge)
+        likely -= 0.5 * sum(((c - p) / s) ** 2 for c, p, s in zip(choice, CONTEXT, SPREAD))
+        if best is None or likely > best[0]:
+            best = likely, choice, w
     # more hits never make a text less toxic; without hits it is not toxic
-    return Scorer(terms, np.maximum(w[1:], 0), min(float(w[0]), -0.5), plain=plain, strict=strict)
+    _, context, w = best
+    return Scorer(terms, np.maximum(w[1:], 0), min(float(w[0]), -0.5), plain=plain, strict=strict, context=context)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Scorer:
     """Fit on at most ``sample`` labelled rows, those of smallest hash of doc_id, of those with crc32(doc_id) mod 5 not 0.
 
-    The sample is broadcast to the texts (at most ``sample`` ids) and only its texts come to the driver.
-    Rows whose label or id is null are left out.
+    The sample is broadcast to the texts (at most ``sample`` ids) and only its texts come to the driver, one for each id: of rows that
+    repeat an id, the text of smallest hash. Rows whose label or id is null are left out.
     """
     use = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 <> 0")
-    use = use.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    use = use.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = hash_sample(use, "doc_id", sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").select("doc_id", "text", "toxic")
-    texts, toxic = [], []
-    for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text)):
-        texts.append(r.text)
-        toxic.append(r.toxic)
-    return fit(texts, toxic)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("doc_id", "r.text", "toxic")
+    rows = sorted((tuple(r) for r in rows.collect()), key=lambda r: r[0])
+    return fit([t for _, t, _ in rows], [y for *_, y in rows])
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= 0.5), hits (term, word, start, edits, weight) of every row.
+def toxicity(spark: SparkSession, docs: DataFrame, scorer: Scorer, hits: bool = True) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (1 if score >= 0.5) and, if wanted, hits (term, word, start, edits, weight) of every row.
 
     Null text is empty text and scores as a text without hits. Repeated rows, null ids and other columns of the table
     change nothing: each row is scored by its text alone.
@@ -261,15 +292,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
         own = Scorer(*state)
         for whole in it:
             for b in slices(whole, "text"):
-                hits = [own.hits(x or "") for x in b.column("text").to_pylist()]
-                score = np.array([own.score(h) for h in hits])
-                kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.string()), ("start", pa.int32()), ("edits", pa.int32()), ("weight", pa.float64())]))
-                found = [[dict(zip(("term", "word", "start", "edits", "weight"), h)) for h in x] for x in hits]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32()), pa.array(found, kind)], ["doc_id", "score", "predicted", "hits"]
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+                got = [own.hits(x or "") for x in b.column("text").to_pylist()]
+                score = np.array([own.score(h) for h in got])
+                cols = [b.column("doc_id"), pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32())]
+                if hits:
+                    names = ("term", "word", "start", "edits", "weight")
+                    kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())))))
+                    cols.append(pa.array([[dict(zip(names, h)) for h in x] for x in got], kind))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "hits"][: len(cols)])
+
+    schema = _SCHEMA if hits else _SCHEMA[: _SCHEMA.index(", hits")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def reject(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
