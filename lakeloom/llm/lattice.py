@@ -2,9 +2,12 @@
 
 Each table projects vectors on eight random orthonormal directions, shifts them and decodes them to the nearest E8 lattice
 point. A vector enters the cell of that point and those of the next nearest points, so vectors near a wall share a cell.
-Vectors of one cell (and label) are compared in blocks of bounded size; a pair counts in the first of the cells that
-it shares. Equal vectors are one class before any hashing, and links are counted and joined where they are
-found: no pair leaves its block but those of a spanning forest.
+The vectors of one cell (and label) are compared; a pair counts in the first of the cells that it shares. Equal vectors are one class
+before any hashing, and links are counted and joined where they are found: no pair leaves its task but those of a spanning forest.
+
+A label's vectors go to tasks as they are (not cell by cell) and are hashed there: all of them to one task while they are few, each two
+blocks of them to one while there are some blocks, and beyond that the cells are dealt over groups and a vector goes to the groups of
+its cells. Cells get smaller as labels get larger (``shape``), so that the vectors in a cell stay few at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import textkit
-from lakeloom.llm.common import Workspace, components, long_list
+from lakeloom.llm.common import Workspace, components, counted_join
 
 
 def e8_roots() -> np.ndarray:
@@ -69,7 +72,7 @@ class Lattice:
             key = textkit.mix(key + (2 * p[:, c]).astype(np.int64).view(np.uint64) * textkit._STEP[c] + textkit.U(1))
         return key
 
-    def cells(self, x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    def cells(self, x: np.ndarray) -> np.ndarray:
         """A 64-bit key for each (row, table, cell)."""
         out = []
         for t, (q, shift) in enumerate(zip(self.frames, self.shifts)):
@@ -83,157 +86,259 @@ class Lattice:
                     order = np.argpartition(-((part - own) @ self.roots.T), self.probes, axis=1)[:, : self.probes]
                     near += [own + self.roots[order[:, j]] for j in range(self.probes)]
                 choices.append([self._point(p) for p in near])
-            base = textkit.mix(label.astype(np.int64).view(np.uint64) * textkit.U(1000003) + textkit.U(t + 1))
+            base = textkit.mix(np.full(len(x), t + 1, np.uint64))
             picks = [[0] * self.width] + [[j if v == w else 0 for v in range(self.width)] for w in range(self.width) for j in range(1, self.probes + 1)]
             for pick in picks:
                 key = base
                 for w, j in enumerate(pick):
                     key = textkit.mix(key * textkit.U(3) + choices[w][j])
                 out.append(key)
-        return np.stack(out, axis=1)
+        return np.stack(out, axis=1).reshape(len(x), len(self.frames), -1).view(np.int64)
+
+
+def shape(count: int) -> dict:
+    """The lattice for a label of ``count`` vectors: E8 copies, tables and scale.
+
+    Two vectors at cosine 0.93 share no cell with a chance of some 5 in a million at each of them (measured by a test); two unrelated
+    ones share one with a chance of 0.05, 0.005 and 0.001, so that a vector meets a few thousand others at the end of each range.
+    """
+    if count <= 1 << 16:
+        return {"width": 1, "tables": 5, "probes": 3, "scale": 1.76}
+    return {"width": 2, "tables": 8, "probes": 3, "scale": 2.2} if count <= 1 << 22 else {"width": 3, "tables": 11, "probes": 3, "scale": 2.6}
 
 
-def _unit(vectors: list) -> tuple[np.ndarray, list[int]]:
+def _unit(vectors: list) -> tuple[list[np.ndarray], list[int]]:
     """Unit vectors in double precision and the rows that have one."""
     rows, keep = [], []
     for i, v in enumerate(vectors):
         if v is None or not len(v) or any(x is None for x in v):
             continue
         x = np.asarray(v, np.float64)
-        n = np.sqrt((x * x).sum())
-        if np.isfinite(x).all() and n > 0:
-            if not np.isfinite(n) or n < 1e-150:
-                x = x / np.abs(x).max()
-                n = np.sqrt((x * x).sum())
-            rows.append(x / n)
+        if np.isfinite(x).all() and (x != 0).any():
+            rows.append(_scaled(x[None])[0])
             keep.append(i)
     return rows, keep
 
 
-def _compare(least: float):
-    """Members sorted by (bucket, i, j): (rep, links, other): counts of linked vectors, and the edges of a forest."""
-
-    def block(rows):
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
-        if not left or not right:
-            return []
-        bucket = rows[0][0]
-        a, b = np.array([r[6] for r in left]), np.array([r[6] for r in right])
-        dots = a @ b.T
-        if i == j:
-            dots[np.tril_indices(len(a))] = -2
-        x, y = np.nonzero(dots >= least)
-        if not len(x):
-            return []
-        ka, kb = np.array([r[7] for r in left]), np.array([r[7] for r in right])
-        first = np.ones(len(x), bool)
-        for lo in range(0, len(x), 8192):
-            p, q = ka[x[lo : lo + 8192]], kb[y[lo : lo + 8192]]
-            shared = (p[:, :, None] == q[:, None, :]).any(axis=2)
-            first[lo : lo + 8192] = np.where(shared, p, np.iinfo(np.int64).max).min(axis=1) == bucket
-        x, y = x[first], y[first]
-        ra, rb = np.array([r[4] for r in left]), np.array([r[4] for r in right])
-        wa, wb = np.array([r[5] for r in left]), np.array([r[5] for r in right])
-        na, nb = np.bincount(x, wb[y], len(left)).astype(int), np.bincount(y, wa[x], len(right)).astype(int)
-        out = [(int(r), int(n), None) for r, n in zip(np.r_[ra, rb], np.r_[na, nb]) if n]
-        parent: dict[int, int] = {}
-
-        def root(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        for p, q in zip(ra[x].tolist(), rb[y].tolist()):
-            u, v = root(p), root(q)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of finite numbers, not all 0, to length 1."""
+    x = x.astype(np.float64)
+    with np.errstate(over="ignore", under="ignore"):
+        n = np.sqrt((x * x).sum(axis=1))
+        odd = ~np.isfinite(n) | (n < 1e-150)
+    if odd.any():
+        x[odd] /= np.abs(x[odd]).max(axis=1)[:, None]
+        n[odd] = np.sqrt((x[odd] * x[odd]).sum(axis=1))
+    return x / n[:, None]
+
+
+class _Links:
+    """Counts of linked vectors, and a forest of the links, of the vectors in one task."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.count, self.parent, self.forest = weight, np.zeros(len(weight), np.int64), np.arange(len(weight)), []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        np.add.at(self.count, x, self.weight[y])
+        np.add.at(self.count, y, self.weight[x])
+        root = self.parent
+        while (root[root] != root).any():
+            root[:] = root[root]
+        new = np.flatnonzero(root[x] != root[y])
+        for p, q in zip(x[new].tolist(), y[new].tolist()):
+            u, v = p, q
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
             if u != v:
-                parent[u] = v
-                out.append((p, 0, q))
-        return out
+                root[u] = v
+                self.forest.append((p, q))
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], ["rep", "links", "other"])
+
+def _first_shared(keys: np.ndarray, x: np.ndarray, y: np.ndarray, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the cell (table, key) is the first that vectors x and y share: that of the first table, and there the smallest."""
+    out = np.ones(len(x), bool)
+    for t in range(int(table.max()) + 1 if len(x) else 0):
+        at = np.flatnonzero(out & (table >= t))
+        for lo in range(0, len(at), 65_536):
+            some = at[lo : lo + 65_536]
+            a, b = keys[x[some], t], keys[y[some], t]
+            same = (a[:, :, None] == b[:, None, :]).any(axis=2)
+            least = np.where(same, a, np.iinfo(np.int64).max).min(axis=1)
+            out[some] = np.where(table[some] > t, ~same.any(axis=1), least == key[some])
+    return out
+
+
+def linked(unit: np.ndarray, side: np.ndarray, weight: np.ndarray, lattice: Lattice, least: float, group: int = 0, groups: int = 1, few: int = 24, block: int = 1024) -> _Links:
+    """Links of vectors that share a cell of ``group``, of those on different sides, or of all where there is one side.
+
+    Cells of up to ``few`` vectors are compared all at once, pair by pair; those of more in square blocks.
+    """
+    keys, out = lattice.cells(unit), _Links(weight)
+    n, tables, cells = keys.shape
+    both = bool((side != side[0]).any())
+    flat, vec, table = keys.ravel(), np.repeat(np.arange(n), tables * cells), np.tile(np.repeat(np.arange(tables), cells), n)
+    if groups > 1:
+        mine = np.flatnonzero(flat.view(np.uint64) % textkit.U(groups) == textkit.U(group))
+        flat, vec, table = flat[mine], vec[mine], table[mine]
+    order = np.lexsort((flat, table))
+    flat, vec, table = flat[order], vec[order], table[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (table[1:] != table[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(flat)))
+    run = np.repeat(np.arange(len(start)), size)
+
+    def settle(x, y, at):
+        ok = _first_shared(keys, x, y, table[at], flat[at])
+        out.add(x[ok], y[ok])
+
+    small = np.flatnonzero((size <= few)[run])
+    for d in range(1, int(size[size <= few].max(initial=0))):
+        at = small[: len(small) - d]
+        at = at[run[at] == run[np.minimum(at + d, len(run) - 1)]]
+        for lo in range(0, len(at), 65_536):
+            p = at[lo : lo + 65_536]
+            x, y = vec[p], vec[p + d]
+            if both:
+                use = side[x] != side[y]
+                p, x, y = p[use], x[use], y[use]
+            hit = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+            if hit.any():
+                settle(x[hit], y[hit], p[hit])
+    for r in np.flatnonzero(size > few).tolist():
+        members = vec[start[r] : start[r] + size[r]]
+        left, right = (members[side[members] == side.min()], members[side[members] == side.max()]) if both else (members, members)
+        for a in range(0, len(left), block):
+            for b in range(0 if both else a, len(right), block):
+                p, q = left[a : a + block], right[b : b + block]
+                x, y = np.nonzero(unit[p] @ unit[q].T >= least)
+                if not both and a == b:
+                    x, y = x[x < y], y[x < y]
+                if len(x):
+                    settle(p[x], q[y], np.full(len(x), start[r]))
+    return out
+
+
+def _compare(least: float, shapes):
+    """Members sorted by (label, dim, g, i, j): (rep, links, other), counts of linked vectors and the edges of a forest."""
+    made: dict[tuple, Lattice] = {}
+
+    def rows(key, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        _, dim, g, i, j = key
+        whole = pa.Table.from_batches(parts)
+        if whole.num_rows < 2:
+            return None
+        own, rep, w, count, groups = (whole.column(c).to_numpy() for c in ("own", "rep", "w", "count", "groups"))
+        if i != j and (own == own[0]).all():
+            return None
+        how = shapes(int(count[0]))
+        lattice = made.setdefault((dim, *how.values()), Lattice(dim, **how))
+        unit = _scaled(whole.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        got = linked(unit, own if i != j else np.zeros(len(own), np.int32), w, lattice, least, g, int(groups[0]))
+        some = np.flatnonzero(got.count)
+        a, b = (np.array([x[c] for x in got.forest], np.int64) for c in (0, 1))
+        reps, links = pa.array(np.concatenate((rep[some], rep[a]))), pa.array(np.concatenate((got.count[some], np.zeros(len(a), np.int64))))
+        other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[b])])
+        return pa.RecordBatch.from_arrays([reps, links, other], ["rep", "links", "other"])
 
     def run(it):
         held, key = [], None
         for b in it:
-            plain = [b.column(c).to_pylist() for c in ("bucket", "i", "j", "own", "rep", "w")]
-            unit, keys = b.column("unit"), b.column("keys")
-            for r, row in enumerate(zip(*plain)):
-                if row[:3] != key:
-                    if len(held) > 1:
-                        yield rows(block(held))
-                    held, key = [], row[:3]
-                held.append((*row, unit[r].values.to_numpy(), keys[r].values.to_numpy()))
-        if len(held) > 1:
-            yield rows(block(held))
+            at = np.stack([b.column(c).to_numpy() for c in ("label", "dim", "g", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                now = tuple(at[lo].tolist())
+                if now != key:
+                    if held and (out := rows(key, held)) is not None:
+                        yield out
+                    held, key = [], now
+                held.append(b.slice(lo, hi - lo))
+        if held and (out := rows(key, held)) is not None:
+            yield out
 
     return run
 
 
-def near_vectors(
-    spark: SparkSession, vectors: DataFrame, least: float = 0.93, tables: int = 5, probes: int = 3, scale: float = 1.76, width: int = 1, block: int = 1024
-) -> DataFrame:
+def _dealt(shapes, most: int):
+    """Members of large labels -> a row for each group of cells that the vector has a cell in."""
+    made: dict[tuple, Lattice] = {}
+
+    def run(it):
+        for b in it:
+            dims, counts = b.column("dim").to_numpy(), b.column("count").to_numpy()
+            for dim, count in {*zip(dims.tolist(), counts.tolist())}:
+                part = b.take(pa.array(np.flatnonzero((dims == dim) & (counts == count))))
+                how = shapes(count)
+                lattice = made.setdefault((dim, *how.values()), Lattice(dim, **how))
+                keys = lattice.cells(_scaled(part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))).reshape(part.num_rows, -1)
+                groups = -(-count * keys.shape[1] // most)
+                g = np.sort((keys.view(np.uint64) % textkit.U(groups)).astype(np.int64), axis=1)
+                new = np.ones(g.shape, bool)
+                new[:, 1:] = g[:, 1:] != g[:, :-1]
+                out = part.take(pa.array(np.nonzero(new)[0]))
+                names = [c for c in out.schema.names if c not in ("g", "groups")]
+                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), pa.array(g[new]), pa.array(np.full(out.num_rows, groups))], [*names, "g", "groups"])
+
+    return run
+
+
+def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shapes=shape, block: int = 65_536, blocks: int = 16) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Linked: labels equal and not null, cosine (double precision) of ``least`` or more. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, nor do vectors of different lengths. n_links counts the other
     vectors linked directly, component_id is the smallest vec_id reachable, kept says whether that is the vector itself.
-    Two vectors at cosine 0.93 share no cell with a chance of some 3 in a million at these parameters; nearer ones less.
+    Two vectors at cosine 0.93 share no cell with a chance of some 5 in a million; nearer ones less (``shapes``).
 
     A null vec_id has no links, a null component and is kept. Repeated rows are vectors of their own; of one vec_id
-    they have one component. An empty table gives no rows.
+    they have one component. An empty table gives no rows. A task holds two blocks of ``block`` vectors at most; labels of up to
+    ``blocks`` blocks are compared block by block, larger ones by groups of cells.
     """
     ws = Workspace(spark, "lattice")
-    kind = "vec_id long, label long, d1 long, d2 long, dim int, unit array<double>"
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    element = element if element in ("float", "double") else "double"
+    kind = f"vec_id long, label long, d1 long, d2 long, dim int, vec array<{element}>"
 
     def units(it):
         for b in it:
             rows, keep = _unit(b.column("embedding").to_pylist())
-            ids, labels = b.column("vec_id").take(pa.array(keep, pa.int64())), b.column("label").take(pa.array(keep, pa.int64()))
+            part = b.take(pa.array(keep, pa.int64()))
             u = [np.frombuffer(r.tobytes(), np.uint64) for r in rows]
             d1, d2 = textkit.set_digest([textkit.mix(x + np.arange(len(x), dtype=np.uint64) * textkit._STEP[3])[None] for x in u])
-            n = np.fromiter(map(len, rows), np.int64, len(rows))
-            flat = np.concatenate(rows) if rows else np.zeros(0)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, labels, pa.array(d1), pa.array(d2), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(flat))], [x.split()[0] for x in kind.split(", ")])
+            n = np.fromiter(map(len, rows), np.int32, len(rows))
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(d1), pa.array(d2), pa.array(n), part.column("embedding")], [x.split()[0] for x in kind.split(", ")])
 
-    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"), F.col("label").cast("long").alias("label"))
     good = ws.save(typed.where("vec_id IS NOT NULL AND label IS NOT NULL").mapInArrow(units, kind), "units")
     same = ["label", "dim", "d1", "d2"]
-    reps = good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("unit").alias("unit"))
-
-    def keyed(it):
-        made: dict[int, Lattice] = {}
-        for b in it:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims).tolist():
-                part = b.take(pa.array(np.flatnonzero(dims == d)))
-                lattice = made.setdefault(d, Lattice(d, tables, probes, scale, width))
-                x = part.column("unit").flatten().to_numpy().reshape(-1, d)
-                keys = lattice.cells(x, part.column("label").to_numpy() * 1_000_003 + d)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("w"), part.column("unit"), long_list(keys.ravel(), np.full(len(keys), keys.shape[1]))], ["rep", "w", "unit", "keys"])
-
-    reps = ws.save(reps.select(*same, "rep", "w", "unit"), "reps")
-    cells = ws.save(reps.select("rep", "w", "unit", "dim", "label").mapInArrow(keyed, "rep long, w long, unit array<double>, keys array<long>"), "cells")
-    each = cells.select("rep", F.explode(F.array_distinct("keys")).alias("bucket"))
-    size = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", F.ceil(F.col("c") / block).cast("int").alias("nb"))
-    member = each.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    member = member.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    member = member.select("bucket", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "rep").join(cells, "rep")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = member.select("bucket", "i", "j", "own", "rep", "w", "unit", "keys").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = ws.save(dealt.mapInArrow(_compare(least), "rep long, links long, other long"), "found")
+    reps = ws.save(good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec")), "reps")
+    sizes = ws.save(reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).withColumn("count", F.col("c")), "sizes")
+    member = counted_join(reps.select("label", "dim", "rep", "w", "vec"), sizes, ["label", "dim"], reps.count())
+    member = member.withColumn("g", F.lit(0).cast("long")).withColumn("groups", F.lit(1).cast("long")).withColumn("nb", F.ceil(F.col("count") / block).cast("int"))
+    dealt = member.where(F.col("nb") <= blocks)
+    if not sizes.where(F.col("c") > block * blocks).isEmpty():
+        large = ws.save(member.where(F.col("nb") > blocks).drop("nb").mapInArrow(_dealt(shapes, block), member.drop("nb").schema), "large")
+        held = ws.save(large.groupBy("label", "dim", "g").agg(F.count(F.lit(1)).alias("c")).withColumn("nb", F.ceil(F.col("c") / block).cast("int")), "held")
+        dealt = dealt.unionByName(counted_join(large, held, ["label", "dim", "g"], large.count()).select(dealt.columns))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "x")).withColumn("j", F.greatest("own", "x")).drop("x", "nb")
+    parts, task = int(spark.conf.get("spark.sql.shuffle.partitions")), ["label", "dim", "g", "i", "j"]
+    dealt = dealt.repartition(parts, *task).sortWithinPartitions(*task)
+    found = ws.save(dealt.mapInArrow(_compare(least, shapes), "rep long, links long, other long"), "found")
+    ws.drop("large", "held")
     label = components(ws, found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     count = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.join(count, "rep", "left").join(label, reps.rep == label.node, "left").select(*same, (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.select("vec_id", *same).join(known, same).select("vec_id", "n_links", "component_id")
+    known = reps.join(count, "rep", "left").join(label, reps.rep == label.node, "left")
+    known = ws.save(known.select(*same, F.col("w").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    whole = counted_join(good.select("vec_id", *same), known, same, good.count()).select("vec_id", "n_links", "component_id")
     lone = typed.where("vec_id IS NULL OR label IS NULL").select("vec_id")
     bad = typed.where("vec_id IS NOT NULL AND label IS NOT NULL").select("vec_id", "embedding").where(_unusable()).select("vec_id")
     lone = lone.unionByName(bad).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked.unionByName(lone)
+    out = whole.unionByName(lone)
     return ws.finish(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
 
 

@@ -35,15 +35,36 @@ def brute(data, least):
     return {i: (n[i], comp[i], comp[i] == i) for i in n}
 
 
-@pytest.mark.parametrize("block, tables, width", [(1024, 5, 1), (7, 5, 1), (1024, 16, 2)])
-def test_against_brute_force(spark, block, tables, width):
+WIDE = {"width": 2, "tables": 16, "probes": 3, "scale": 1.76}
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 40}, {"block": 40, "blocks": 1}, {"shapes": lambda n: WIDE}, {"shapes": lambda n: WIDE, "block": 50, "blocks": 0}])
+def test_against_brute_force(spark, how):
+    """All of a label in one task, two blocks of it in one, and by groups of cells."""
     data = rows()
-    got = lattice.near_vectors(spark, spark.createDataFrame(data, SCHEMA), block=block, tables=tables, width=width).collect()
+    got = lattice.near_vectors(spark, spark.createDataFrame(data, SCHEMA), **how).collect()
     want = brute(data, 0.93)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
     assert sum(n for n, _, _ in want.values()) > 1000
 
 
+def test_links_of_cells_of_any_size():
+    """Pair by pair, in blocks, of one side and of two, and shared out over groups of cells."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(5, 16))
+    x = base[rng.integers(0, 5, 400)] + rng.normal(size=(400, 16)) * rng.choice([0.02, 0.15, 0.3], 400)[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    net, w, side = lattice.Lattice(16, 5, 3, 1.76), rng.integers(1, 4, 400), rng.integers(0, 2, 400)
+    near = (x @ x.T >= 0.93) & ~np.eye(400, dtype=bool)
+    for sides, want in ((np.zeros(400, int), near), (side, near & (side[:, None] != side[None, :]))):
+        for few, block, groups in ((24, 1024, 1), (1, 7, 1), (10_000, 9, 1), (4, 30, 3)):
+            got = [lattice.linked(x, sides, w, net, 0.93, g, groups, few, block) for g in range(groups)]
+            assert (sum(g.count for g in got) == (want * w).sum(axis=1)).all()
+            edges = [e for g in got for e in g.forest]
+            assert all(want[a, b] for a, b in edges)
+            assert components(range(400), edges) == components(range(400), [(int(a), int(b)) for a, b in zip(*np.nonzero(want)) if a < b])
+
+
 def test_decoder_finds_the_nearest_point():
     rng = np.random.default_rng(2)
     x = rng.uniform(-2, 2, (200, 8))
@@ -54,17 +75,30 @@ def test_decoder_finds_the_nearest_point():
     assert d.max() <= 1 + 1e-9
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("count", [1 << 16, 1 << 22, 1 << 30])
+def test_recall_at_the_threshold(count):
+    """Pairs at cosine 0.93 share a cell, unrelated vectors seldom, at each size of labels."""
     rng = np.random.default_rng(4)
-    a = rng.normal(size=(4000, 64))
+    a = rng.normal(size=(20_000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     w = rng.normal(size=a.shape)
     w -= (w * a).sum(axis=1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
-    cells = lattice.Lattice(64, 5, 3, 1.76)
-    y = np.zeros(len(a), np.int64)
-    x, z = cells.cells(a, y), cells.cells(b, y)
-    assert (x[:, :, None] == z[:, None, :]).any(axis=(1, 2)).mean() > 0.999
+    cells = lattice.Lattice(64, **lattice.shape(count))
+    x, z = cells.cells(a), cells.cells(b)
+    hit = (x[:, :, :, None] == z[:, :, None, :]).any(axis=(2, 3))
+    assert hit.any(axis=1).mean() >= 0.9999
+    other = (x[:, :, :, None] == np.roll(z, 1, axis=0)[:, :, None, :]).any(axis=(1, 2, 3)).mean()
+    assert other < {1: 0.1, 2: 0.02, 3: 0.005}[cells.width]
+
+
+def test_awkward_numbers(spark):
+    """Vectors in double precision, of numbers whose squares are beyond it, and of repeated and long ones."""
+    schema = SCHEMA.replace("float", "double")
+    data = [(1, [1e200, 2e200, 0.0], 0, "x"), (2, [1e-200, 2e-200, 0.0], 0, "x"), (3, [1.0, 2.0, 0.001], 0, "x"), (4, [2.0, -1.0, 0.0], 0, "x"), (5, [5e-324, 0.0, 0.0], 0, "x"), (6, [1.0, 0.0, 0.0], 0, "x")]
+    data += [(10 + i, [1.0] * 5000 + [float(i)], 7, "x") for i in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(spark, spark.createDataFrame(data, schema)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 10: (2, 10), 11: (2, 10), 12: (2, 10)}
 
 
 def test_null_and_repeated_ids(spark):
