@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import Workspace, hash_sample, slices
 
 SLOTS = 1 << 15
+#: Second labels under which countries' registries give out names.
+SECOND = frozenset("ac co com edu gob gouv gov gv info ltd me mil ne net nhs nic nom or org plc police sch school web".split())
 _TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;", re.S | re.I)
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re.I)
-_URL = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+_URL = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)")
 
 
 def trigrams(raw: bytes) -> np.ndarray:
@@ -60,13 +62,19 @@ def train(docs: DataFrame, sample: int = 2000) -> Model:
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:
-    """(host, domain, suffix) of a URL: lower case, without www; the domain is the last two labels."""
+    """(host, domain, suffix) of a URL: lower case, without www.
+
+    The suffix is the last label. The domain is what is registered under a public suffix: the last two labels, or three where the
+    last but one is of ``SECOND`` and the last a country's, of two letters. An address of numbers is its own domain and has no suffix.
+    """
     m = _URL.match(url or "")
     if not m:
         return None, None, None
     host = m[1].lower().rstrip(".").removeprefix("www.")
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1]
+    if host.startswith("[") or len(labels) == 4 and all(x.isdigit() for x in labels):
+        return host, host, None
+    return host, ".".join(labels[-3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND else -2 :]), labels[-1]
 
 
 def identify(spark: SparkSession, rows: DataFrame, model: Model, strength: float = 4.0, top: float = 1e-6) -> DataFrame:
@@ -74,7 +82,8 @@ def identify(spark: SparkSession, rows: DataFrame, model: Model, strength: float
 
     The text counts where it is not null, else the html without tags. host (a source, say) stands in where there is no
     url. Missing evidence counts for nothing: a row without text, markup, address and host gets the corpus's prior, and with a
-    model of no languages lang is null. Ties go to the first language by name. Repeated rows and keys are rows of their own.
+    model of no languages lang is null. Ties go to the first language by name. Repeated rows and keys are rows of their own, each
+    with evidence of its own; other columns are ignored. Texts count whole; memory follows the longest one.
     ``strength`` is the weight, in rows, of each level of smoothing.
     """
     ws, langs = Workspace(spark, "langid"), model.langs
@@ -84,7 +93,7 @@ def identify(spark: SparkSession, rows: DataFrame, model: Model, strength: float
     def run(it):
         own = Model(*state.value)
         for whole in it:
-            for b in slices(whole, "html"):
+            for b in (y for x in slices(whole, "html") for y in slices(x, "text")):
                 out = [[] for _ in range(6)]
                 for key, text, page, url, host in zip(*(b.column(c).to_pylist() for c in ("key", "text", "html", "url", "host"))):
                     m = _DECLARED.search(page) if page else None

@@ -53,28 +53,31 @@ def known_digests(spark: SparkSession, texts: dict[str, str] | None = None, noti
     return made.groupBy("digest", "whole").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, most_literals: int = 1000, most_broadcast: int = 100_000) -> DataFrame:
     """doc_id, digest (of the canonical text), license (that of the whole text, or null), notices (sorted licences that
     single lines name), n_lines (lines that are such notices), one row per row of ``docs``.
 
-    Texts that are null, empty or empty in canonical form have digest null, no licence and no notices. The known table is
-    broadcast while its size, which is checked, is at most 100,000 rows; beyond that it is joined by shuffle.
+    Texts that are null, empty or empty in canonical form have digest null, no licence and no notices. Rows are scanned one by one, so
+    repeated rows and null ids are rows like others; other columns are ignored, and texts count whole. A digest of several
+    licences is that of the first by name. Known whole texts and known notices, each by its own count, are joined by broadcast
+    up to ``most_broadcast`` rows, else by shuffle; up to ``most_literals`` notices are looked up in the expression itself. The result
+    is the same.
     """
-    size = known.count()
-    large = size > 100_000
-    near = (lambda x: x) if large else F.broadcast
+    known = known.groupBy("digest", "whole").agg(F.min("license").alias("license"))
+    sizes = {r["whole"]: r["count"] for r in known.groupBy("whole").count().collect()}
+    near = lambda x, whole: F.broadcast(x) if sizes.get(whole, 0) <= most_broadcast else x
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("canon", canonical(F.col("text")))
     text = text.select("doc_id", F.when(F.length("canon") > 0, F.sha2("canon", 256)).alias("digest"), F.transform(canonical_lines(F.col("text")), lambda x: F.sha2(x, 256)).alias("lines"))
-    whole = text.join(near(known.where("whole").select("digest", "license")), "digest", "left")
+    whole = text.join(near(known.where("whole").select("digest", "license"), True), "digest", "left")
     notices = known.where("NOT whole").select("digest", "license")
-    if size <= 1000:
+    if sizes.get(False, 0) <= most_literals:
         pairs = [F.lit(x) for r in sorted(notices.collect()) for x in (r.digest, r.license)]
         table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
         hit = F.filter(F.transform("lines", lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())
         out = whole.withColumn("hit", F.coalesce(hit, F.array().cast("array<string>")))
     else:
         rows = whole.withColumn("row", F.monotonically_increasing_id())
-        named = rows.select("row", F.explode("lines").alias("digest")).join(near(notices.withColumnRenamed("license", "notice")), "digest")
+        named = rows.select("row", F.explode("lines").alias("digest")).join(near(notices.withColumnRenamed("license", "notice"), False), "digest")
         named = named.groupBy("row").agg(F.collect_list("notice").alias("hit"))
         out = rows.join(named, "row", "left").withColumn("hit", F.coalesce("hit", F.array().cast("array<string>")))
     return out.select("doc_id", "digest", "license", F.array_sort(F.array_distinct("hit")).alias("notices"), F.size("hit").cast("long").alias("n_lines"))

@@ -9,6 +9,7 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import zlib
@@ -31,6 +32,8 @@ class WordEncoder:
     Words between ASCII white space can be encoded apart, as the tokenizer splits there; a final full stop or comma after
     letters only is a token of its own. New words go to the tokenizer in one text, a mark between them.
     Texts of Latin letters are lower-cased first, as the tokenizer would do. ``most`` words are kept at a time.
+
+    That holds for tokenizers with the rules of ``_RULES`` only; with any other file whole texts are encoded.
     """
 
     def __init__(self, path: str, most: int = 2_000_000):
@@ -40,6 +43,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_words = all(rules.get(k) == v for k, v in _RULES.items())
+        #: special tokens are found before lower-casing: texts with their first characters are left as they are
+        self.special = [x["content"][:2].lower() for x in rules.get("added_tokens") or ()]
         mark = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
         self.mark = mark[1] if len(mark) == 3 and mark[0] == mark[2] else None
 
@@ -61,9 +69,11 @@ class WordEncoder:
                 self.known[w] = self._alone(w)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lists, every = [], set()
         for text in texts:
-            if not _OTHER.search(text):
+            if not _OTHER.search(text) and not any(x in text for x in self.special):
                 text = text.lower()
             for c in "\t\n\x0b\x0c\r":
                 text = text.replace(c, " ")
@@ -84,6 +94,20 @@ class WordEncoder:
 
 
 _MARK = "\x01"
+#: The rules of a tokenizer file that words may be encoded apart with.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _RUN = re.compile(r"[.,](?<=[^\w ][.,]|_[.,])(?: |$)")  # a stop that is part of a longer run
 _TAIL = re.compile(r"([^\W\d_])([.,])(?= |$)")

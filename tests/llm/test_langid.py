@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lakeloom.llm import langid
@@ -19,7 +23,76 @@ def test_evidence_adds_up(spark):
     assert got["n"].confidence < 0.7 and got["b"].declared == "de" and got["a"].host == "shop.example.com"
 
 
+def brute(rows, m, strength=4.0, top=1e-6):
+    """The posteriors by plain loops and dictionaries."""
+    n, seen = len(m.langs), []
+    for key, text, page, url, host, _ in rows:
+        found = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", page or "", re.I)
+        text = langid._TAGS.sub(" ", page or "") if text is None else text
+        raw = text.encode().lower()
+        ll = [0.0] * n
+        for i in range(len(raw) - 2):
+            slot = int(langid.trigrams(raw[i : i + 3])[0])
+            ll = [x + m.temper * float(y) for x, y in zip(ll, m.logs[slot])]
+        ll = [x - max(ll) for x in ll]
+        h, d, z = langid.address(url) if url else (host, host, None)
+        p = [math.exp(x) / sum(map(math.exp, ll)) for x in ll]
+        seen.append((key, found and found[1].lower(), h, d, z, ll, p))
+    add = lambda which: {v: [sum(r[6][i] for r in seen if r[which] == v) for i in range(n)] for v in {r[which] for r in seen} if v is not None}
+    hosts, domains, declared, suffixes = add(2), add(3), add(1), add(4)
+    whole = [sum(r[6][i] for r in seen) for i in range(n)]
+    prior = [(x + strength / n) / (sum(whole) + strength) for x in whole]
+
+    def chance(table, v, i):
+        if v is None:
+            return 0.0
+        held = [sum(x[j] for x in table.values()) for j in range(n)]
+        return math.log((table[v][i] + strength * sum(table[v]) / (sum(held) + strength)) / (held[i] + strength) + top)
+
+    out = {}
+    for key, lang, h, d, z, ll, p in seen:
+        score = []
+        for i in range(n):
+            own = prior[i]
+            if h is not None:
+                mid = (max(domains[d][i] - p[i], 0) + strength * prior[i]) / (max(sum(domains[d]) - 1, 0) + strength)
+                own = (max(hosts[h][i] - p[i], 0) + strength * mid) / (max(sum(hosts[h]) - 1, 0) + strength)
+            score.append(ll[i] + math.log(own + top) + chance(declared, lang, i) + chance(suffixes, z, i))
+        best = max(score)
+        out[key] = (m.langs[score.index(best)], 1 / sum(math.exp(x - best) for x in score), lang, h)
+    return out
+
+
+def test_against_brute_force(spark):
+    r = random.Random(2)
+    m = langid.Model.fit([("de", "der die das und nicht ist ein " * 5), ("en", "the and of to is not a an this " * 5), ("fr", "le la les et de un une est pas " * 5)])
+    words = "der die das und the and of le la les est pas haus tree maison 12 é ß".split()
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 12)))
+    url = lambda: r.choice([None, f"http://{r.choice(['a', 'b', 'www', 'x.y'])}.{r.choice(['one', 'two'])}.{r.choice(['de', 'co.uk', 'fr', 'com'])}/p", "no address", "https://10.0.0.1/x"])
+    page = lambda: r.choice([None, "", f"<html lang={r.choice(['de', 'en', 'FR', 'xx'])}><p>{text()}</p>", f"<p>{text()} &amp; {text()}"])
+    rows = [(f"k{i}", r.choice([None, text()]), page(), url(), r.choice([None, "shop", "news"]), "zz") for i in range(200)]
+    got = {x.key: (x.lang, x.confidence, x.declared, x.host) for x in langid.identify(spark, spark.createDataFrame(rows, SCHEMA), m).collect()}
+    want = brute(rows, m)
+    assert set(got) == set(want)
+    for k, (lang, sure, said, host) in want.items():
+        assert math.isclose(got[k][1], sure, rel_tol=1e-6) and got[k][2:] == (said, host)
+        assert got[k][0] == lang or abs(sure - 0.5) < 1e-6
+
+
+def test_ties_long_texts_and_clashing_columns(spark):
+    """Languages of one model text tie: the first by name. Columns named as those made on the way are ignored."""
+    m = langid.Model.fit([("b", "one text"), ("a", "one text")])
+    df = spark.createDataFrame([("k", "one text", None, None, None, "q", 1.0, "s", "d")], SCHEMA + ", p0 double, suffix string, domain string")
+    got = langid.identify(spark, df, m).first()
+    assert (got.lang, round(got.confidence, 6), len(got)) == ("a", 0.5, 5)
+    rows = [("t", "the house and that tree " * 200_000, None, None, None, None), ("h", None, "<html><p>" + "der Baum und das Haus " * 200_000, None, None, None)]
+    assert {r.key: r.lang for r in langid.identify(spark, spark.createDataFrame(rows, SCHEMA), model()).collect()} == {"t": "en", "h": "de"}
+
+
 def test_addresses():
+    assert langid.address("http://www.shop.example.co.uk/x") == ("shop.example.co.uk", "example.co.uk", "uk")
+    assert langid.address("http://co.uk") == ("co.uk", "co.uk", "uk") and langid.address("http://a.com.example.com")[1] == "example.com"
+    assert langid.address("http://10.1.2.3:80/") == ("10.1.2.3", "10.1.2.3", None) and langid.address("http://[::1]:8/x")[2] is None
     assert langid.address("https://u:p@www.A.Example.co:80/x?y") == ("a.example.co", "example.co", "co")
     assert langid.address("nonsense") == langid.address(None) == (None, None, None)
 

@@ -29,6 +29,17 @@ def test_known_tables_of_any_size(spark):
         assert sorted((r.doc_id or -1, ",".join(r.notices), r.n_lines, r.digest is None) for r in got) == [(-1, "", 0, True), (1, "MIT", 1, False), (2, "", 0, True), (2, "", 0, True)]
 
 
+def test_plans_of_any_size_and_awkward_rows(spark):
+    """As literals, by broadcast and by shuffle; columns of clashing names, very long texts, digests of two names."""
+    known = license.known_digests(spark, {"B": "One licence text", "A": "one license TEXT"}, {"N": "a notice of one line"})
+    long = "kind words of no licence\n" * 100_000
+    rows = [(1, "One license: text", "x", 1, "y"), (2, long + "A notice of one line", "x", 1, "y"), (2, long, None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, row int, license string")
+    for sizes in ({}, {"most_literals": 0}, {"most_literals": 0, "most_broadcast": 0}):
+        got = sorted((r.doc_id or -1, r.license or "", r.notices, r.n_lines) for r in license.scan(df, known, **sizes).collect())
+        assert got == [(-1, "", [], 0), (1, "A", [], 0), (2, "", [], 0), (2, "", ["N"], 1)]
+
+
 def test_empty_table(spark):
     assert scan(spark, []).count() == 0
 

@@ -84,3 +84,34 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark, spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
+
+
+def test_special_tokens_in_other_letter_case(tokenizer):
+    encode = packing.WordEncoder(tokenizer_path())
+    texts = ["a <|ENDOFTEXT|> b. x<|EndOfText|>y <|endoftext|>.", "<|STARTOFTEXT|>", "a < |ENDOFTEXT|> <| b."]
+    for text, ids in zip(texts, encode(texts)):
+        assert ids == array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def test_tokenizers_of_other_rules(tokenizer):
+    """Whole texts are encoded where words can't be told to be apart."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    path = os.path.join(os.path.dirname(tokenizer_path()), "byte_bpe_50k.json")
+    encode, other = packing.WordEncoder(path), Tokenizer.from_file(path)
+    assert not encode.by_words and packing.WordEncoder(tokenizer_path()).by_words
+    texts = ODD + ["Two  spaces And UPPER case, tabs\t\tand\n\nlines. ", " "]
+    for text, ids in zip(texts, encode(texts)):
+        assert ids == array("I", other.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def test_very_long_texts(spark, tokenizer):
+    text = "Word, after word. " * 40_000
+    df = spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id long, text string")
+    got = packing.pack(spark, df, tokenizer_path()).toPandas()
+    for i, t in ((1, text), (2, "x" * 300_000)):
+        ids, rows = [*tokenizer.encode(t, add_special_tokens=False).ids, 2], got[got.doc_id == i].sort_values("start")
+        assert rows.length.sum() == len(ids) == rows.doc_tokens.iloc[0]
+        assert all(zlib.crc32(array("I", ids[r.start : r.start + r.length]).tobytes()) == r.ids_crc32 for r in rows.itertuples())
