@@ -138,86 +138,171 @@ class _Links:
     def __init__(self, weight: np.ndarray):
         self.weight, self.count, self.parent, self.forest = weight, np.zeros(len(weight), np.int64), np.arange(len(weight)), []
 
-    def add(self, x: np.ndarray, y: np.ndarray) -> None:
-        np.add.at(self.count, x, self.weight[y])
-        np.add.at(self.count, y, self.weight[x])
+    def roots(self) -> np.ndarray:
         root = self.parent
         while (root[root] != root).any():
             root[:] = root[root]
-        new = np.flatnonzero(root[x] != root[y])
-        for p, q in zip(x[new].tolist(), y[new].tolist()):
-            u, v = p, q
-            while root[u] != u:
-                u = root[u]
-            while root[v] != v:
-                v = root[v]
+        return root
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        root = self.roots()
+        up: dict[int, int] = {}  # where former roots have gone in this call
+
+        def top(u):
+            path = []
+            while (v := up.get(u, u)) != u:
+                path.append(u)
+                u = v
+            for w in path:
+                up[w] = u
+            return u
+
+        for p, q, u, v in zip(x.tolist(), y.tolist(), root[x].tolist(), root[y].tolist()):
+            u, v = top(u), top(v)
             if u != v:
-                root[u] = v
+                up[u] = v
                 self.forest.append((p, q))
+        if up:
+            root[list(up)] = list(up.values())
 
-
-def _first_shared(keys: np.ndarray, x: np.ndarray, y: np.ndarray, table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the cell (table, key) is the first that vectors x and y share: that of the first table, and there the smallest."""
-    out = np.ones(len(x), bool)
-    for t in range(int(table.max()) + 1 if len(x) else 0):
-        at = np.flatnonzero(out & (table >= t))
-        for lo in range(0, len(at), 65_536):
-            some = at[lo : lo + 65_536]
-            a, b = keys[x[some], t], keys[y[some], t]
-            same = (a[:, :, None] == b[:, None, :]).any(axis=2)
-            least = np.where(same, a, np.iinfo(np.int64).max).min(axis=1)
-            out[some] = np.where(table[some] > t, ~same.any(axis=1), least == key[some])
-    return out
-
-
-def linked(unit: np.ndarray, side: np.ndarray, weight: np.ndarray, lattice: Lattice, least: float, group: int = 0, groups: int = 1, few: int = 24, block: int = 1024) -> _Links:
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The links of x and y, one by one."""
+        np.add.at(self.count, x, self.weight[y])
+        np.add.at(self.count, y, self.weight[x])
+        root = self.roots()
+        new = root[x] != root[y]
+        self.join(x[new], y[new])
+
+    def add_square(self, p: np.ndarray, q: np.ndarray, mask: np.ndarray) -> None:
+        """The links of p and q where ``mask`` says so."""
+        self.count[p] += mask @ self.weight[q]
+        self.count[q] += mask.T @ self.weight[p]
+        while True:  # each row and each column joins its first neighbour of another part, until there is none
+            root = self.roots()
+            new = mask & (root[p][:, None] != root[q][None, :])
+            rows, cols = np.flatnonzero(new.any(axis=1)), np.flatnonzero(new.any(axis=0))
+            if not len(rows):
+                return
+            self.join(np.append(p[rows], p[new[:, cols].argmax(axis=0)]), np.append(q[new[rows].argmax(axis=1)], q[cols]))
+
+
+class _Cells:
+    """The cells of a task's vectors, numbered in order of table and key: ``ids`` (vector, table, cell)."""
+
+    def __init__(self, keys: np.ndarray):
+        n, tables, cells = keys.shape
+        flat, table = keys.ravel(), np.tile(np.repeat(np.arange(tables), cells), n)
+        order = np.lexsort((flat, table))
+        new = np.ones(len(order), bool)
+        new[1:] = (flat[order[1:]] != flat[order[:-1]]) | (table[order[1:]] != table[order[:-1]])
+        run = np.cumsum(new) - 1
+        self.ids = np.empty(len(order), np.int64)
+        self.ids[order] = run
+        self.ids = self.ids.reshape(keys.shape)
+        self.vec, self.run, self.start = order // (tables * cells), run, np.append(np.flatnonzero(new), len(order))
+        self.key, self.size = flat[order[self.start[:-1]]], np.diff(self.start)
+
+    def members(self, r: int) -> np.ndarray:
+        return self.vec[self.start[r] : self.start[r + 1]]
+
+    def first(self, x: np.ndarray, y: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Whether ``cell`` is the first that vectors x and y share."""
+        out, table = np.ones(len(x), bool), self.table(x, cell)
+        for t in range(int(table.max()) + 1 if len(x) else 0):
+            at = np.flatnonzero(out & (table >= t))
+            for lo in range(0, len(at), 65_536):
+                some = at[lo : lo + 65_536]
+                a, b = self.ids[x[some], t], self.ids[y[some], t]
+                least = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
+                out[some] = least >= cell[some]
+        return out
+
+    def table(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return (self.ids[x] == cell[:, None, None]).any(axis=2).argmax(axis=1)
+
+    def shared_before(self, p: np.ndarray, q: np.ndarray, r: int) -> np.ndarray:
+        """Which of p and q share a cell before r, as a matrix."""
+        a, b = (self.ids[v].reshape(len(v), -1) for v in (p, q))
+        cols = np.intersect1d(a[a < r], b[b < r])
+        if not len(cols):
+            return np.zeros((len(p), len(q)), bool)
+
+        def marks(ids):
+            out = np.zeros((len(ids), len(cols)), np.float32)
+            at = np.minimum(np.searchsorted(cols, ids), len(cols) - 1)
+            rows, places = np.nonzero(cols[at] == ids)
+            out[rows, at[rows, places]] = 1
+            return out
+
+        return marks(a) @ marks(b).T > 0
+
+    def settled(self, members: np.ndarray, r: int) -> np.ndarray:
+        """Which members lie together in one cell before r, the one of most of them: their pairs are known."""
+        ids = self.ids[members].reshape(len(members), -1)
+        before, count = np.unique(ids[ids < r], return_counts=True)
+        return (ids == before[count.argmax()]).any(axis=1) if len(before) else np.zeros(len(members), bool)
+
+
+def linked(unit: np.ndarray, side: np.ndarray, weight: np.ndarray, lattice: Lattice, least: float, group: int = 0, groups: int = 1, few: int = 48, block: int = 1024) -> _Links:
     """Links of vectors that share a cell of ``group``, of those on different sides, or of all where there is one side.
 
-    Cells of up to ``few`` vectors are compared all at once, pair by pair; those of more in square blocks.
+    Cells of up to ``few`` vectors are compared all at once, pair by pair; those of more in square blocks, without the pairs that an
+    earlier cell holds.
     """
-    keys, out = lattice.cells(unit), _Links(weight)
-    n, tables, cells = keys.shape
+    cells, out = _Cells(lattice.cells(unit)), _Links(weight)
     both = bool((side != side[0]).any())
-    flat, vec, table = keys.ravel(), np.repeat(np.arange(n), tables * cells), np.tile(np.repeat(np.arange(tables), cells), n)
-    if groups > 1:
-        mine = np.flatnonzero(flat.view(np.uint64) % textkit.U(groups) == textkit.U(group))
-        flat, vec, table = flat[mine], vec[mine], table[mine]
-    order = np.lexsort((flat, table))
-    flat, vec, table = flat[order], vec[order], table[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (table[1:] != table[:-1])
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(flat)))
-    run = np.repeat(np.arange(len(start)), size)
-
-    def settle(x, y, at):
-        ok = _first_shared(keys, x, y, table[at], flat[at])
-        out.add(x[ok], y[ok])
-
-    small = np.flatnonzero((size <= few)[run])
-    for d in range(1, int(size[size <= few].max(initial=0))):
-        at = small[: len(small) - d]
-        at = at[run[at] == run[np.minimum(at + d, len(run) - 1)]]
-        for lo in range(0, len(at), 65_536):
-            p = at[lo : lo + 65_536]
-            x, y = vec[p], vec[p + d]
+    mine = cells.key.view(np.uint64) % textkit.U(groups) == textkit.U(group)
+    vec, run = cells.vec, cells.run
+    small = np.flatnonzero(((cells.size <= few) & (cells.size > 1) & mine)[run])
+    for d in range(1, int(cells.size[cells.size <= few].max(initial=0))):
+        small = small[(small + d < len(run))]
+        small = small[run[small] == run[small + d]]
+        for lo in range(0, len(small), 65_536):
+            at = small[lo : lo + 65_536]
+            x, y = vec[at], vec[at + d]
             if both:
                 use = side[x] != side[y]
-                p, x, y = p[use], x[use], y[use]
+                at, x, y = at[use], x[use], y[use]
             hit = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
             if hit.any():
-                settle(x[hit], y[hit], p[hit])
-    for r in np.flatnonzero(size > few).tolist():
-        members = vec[start[r] : start[r] + size[r]]
-        left, right = (members[side[members] == side.min()], members[side[members] == side.max()]) if both else (members, members)
+                x, y = x[hit], y[hit]
+                ok = cells.first(x, y, run[at[hit]])
+                out.add(x[ok], y[ok])
+
+    def square(p, q, r, same):
+        mask = unit[p] @ unit[q].T >= least
+        if same:
+            mask = np.triu(mask, 1)
+        n = int(mask.sum())
+        if n > 8 * block:
+            mask &= ~cells.shared_before(p, q, r)
+            out.add_square(p, q, mask)
+        elif n:
+            x, y = np.nonzero(mask)
+            x, y = p[x], q[y]
+            ok = cells.first(x, y, np.full(len(x), r))
+            out.add(x[ok], y[ok])
+
+    def compare(left, right, r, same):
         for a in range(0, len(left), block):
-            for b in range(0 if both else a, len(right), block):
-                p, q = left[a : a + block], right[b : b + block]
-                x, y = np.nonzero(unit[p] @ unit[q].T >= least)
-                if not both and a == b:
-                    x, y = x[x < y], y[x < y]
-                if len(x):
-                    settle(p[x], q[y], np.full(len(x), start[r]))
+            for b in range(a if same else 0, len(right), block):
+                square(left[a : a + block], right[b : b + block], r, same and a == b)
+
+    for r in np.flatnonzero((cells.size > few) & mine).tolist():
+        members = cells.members(r)
+        old = cells.settled(members, r)
+        for known in (True, False):  # pairs of a new member with old ones, and with new ones
+            if not known:
+                left, right = members[~old], members[~old]
+            else:
+                left, right = members[~old], members[old]
+            if not both:
+                compare(left, right, r, not known)
+                continue
+            low, high = side.min(), side.max()
+            compare(left[side[left] == low], right[side[right] == high], r, False)
+            if known:
+                compare(left[side[left] == high], right[side[right] == low], r, False)
     return out
 
 
@@ -286,7 +371,7 @@ def _dealt(shapes, most: int):
     return run
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shapes=shape, block: int = 65_536, blocks: int = 16) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, shapes=shape, block: int = 32_768, blocks: int = 16) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Linked: labels equal and not null, cosine (double precision) of ``least`` or more. Vectors that are null, empty, zero or
