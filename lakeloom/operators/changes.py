@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,9 @@ def update(df: DataFrame, set_: dict[str, str], where: str | None = None) -> Dat
 def merge(target: DataFrame, source: DataFrame, on: str, matched: list[tuple[str | None, str, dict[str, str]]], missing: list[tuple[str | None, dict[str, str]]], t: str = "t", s: str = "s") -> DataFrame:
     """MERGE INTO target USING source: one full outer join, then the first clause that applies.
 
-    ``matched``: (condition, "update" or "delete", assignments); ``missing``: (condition, values by column). A target row that
-    matches several source rows is an error, as it is in SQL.
+    ``matched``: (condition, "update" or "delete", assignments); ``missing``: (condition, values by column). A target row that several
+    source rows would change is an error, as it is in SQL; one that several meet and one or none changes comes once. Whether any
+    row is met by several is found first, by a join of the keys alone; only then are the rows of one target row brought together.
     """
     a = target.withColumn("__t", F.monotonically_increasing_id()).alias(t)
     b = source.withColumn("__s", F.lit(True)).alias(s)
@@ -35,6 +36,12 @@ def merge(target: DataFrame, source: DataFrame, on: str, matched: list[tuple[str
     for k, (cond, _) in reversed(list(enumerate(missing))):
         act = F.when(~is_t & ok(cond), f"i{k}").otherwise(act)
     both = both.withColumn("__act", F.when(~is_t & (act == "keep"), "drop").otherwise(act))
+    if not a.join(b, F.expr(on)).groupBy("__t").count().where("count > 1").isEmpty():
+        row = Window.partitionBy(F.coalesce(F.col(f"{t}.__t"), -1 - F.monotonically_increasing_id()))
+        changes_ = F.col("__act").startswith("m")
+        both = both.withColumn("__many", F.count_if(changes_).over(row)).withColumn("__n", F.row_number().over(row.orderBy(F.when(changes_, 0).otherwise(1))))
+        error = F.raise_error(F.lit("MERGE: several source rows change one target row")).cast("string")
+        both = both.withColumn("__act", F.when(is_t & (F.col("__many") > 1), error).when(is_t & (F.col("__n") > 1), "drop").otherwise(F.col("__act")))
     gone = [f"m{k}" for k, (_, what, _) in enumerate(matched) if what == "delete"] + ["drop"]
     types, cols = dict(target.dtypes), []
     for c in target.columns:

@@ -1,12 +1,10 @@
-"""Window frames that Spark lacks: GROUPS bounds and exclusions, from built-in frames."""
+"""GROUPS frames on a DataFrame, from built-in frames; in texts, and with exclusions, see ``plans.framing``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ADDED = {"sum", "count"}
-
 
 def groups_frame(df: DataFrame, partition: list[str], order: list[str], start: int | None, end: int | None, **aggs: Column) -> DataFrame:
     """``GROUPS BETWEEN start AND end`` (peer groups, None: unbounded): a RANGE frame over the dense rank of the order.
@@ -16,25 +14,3 @@ def groups_frame(df: DataFrame, partition: list[str], order: list[str], start: i
     ranked = df.withColumn("__g", F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
     w = Window.partitionBy(*partition).orderBy("__g").rangeBetween(Window.unboundedPreceding if start is None else start, Window.unboundedFollowing if end is None else end)
     return ranked.select("*", *(a.over(w).alias(k) for k, a in aggs.items())).drop("__g")
-
-
-def excluding(df: DataFrame, partition: list[str], order: list[str], value: str, exclude: str, name: str, how: str = "sum") -> DataFrame:
-    """sum or count of ``value`` over a whole partition, EXCLUDE ``current row``, ``group``, ``ties`` or ``no others``.
-
-    Sums and counts can be subtracted: the partition's, less the part left out; the part is the peers' own frame. An empty rest
-    has sum null and count 0. ``order`` makes the peers.
-    """
-    if how not in _ADDED:
-        raise ValueError(f"{how} can't be subtracted")
-    whole = Window.partitionBy(*partition)
-    peers = Window.partitionBy(*partition, *order)
-    v = F.col(value)
-    total, n = F.sum(v).over(whole), F.count(v).over(whole)
-    own, one = F.coalesce(v, F.lit(0)), v.isNotNull().cast("bigint")
-    group, g = F.coalesce(F.sum(v).over(peers), F.lit(0)), F.count(v).over(peers)
-    gone, k = {
-        "no others": (F.lit(0), F.lit(0)), "current row": (own, one), "group": (group, g), "ties": (group - own, g - one),
-    }[exclude.lower()]
-    if how == "count":
-        return df.withColumn(name, n - k)
-    return df.withColumn(name, F.when(n - k > 0, total - gone))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.plans import lineage as lin
 from lakeloom.plans import metadata as meta
 from lakeloom.plans import report, validate
+from lakeloom.plans.engine import Engine
 from lakeloom.plans.registry import register
 from lakeloom.sources import catalog
 from lakeloom.sources.tables import use_folder
@@ -76,16 +77,16 @@ def function_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, meta.function_type(n, w)) for n, w in names], "name string, type string")
 
 
-@register("mtd_20_summary", _values([(9,)], "lines"))
+@register("mtd_20_summary", _values([(0, "tables:"), (1, "  a"), (2, "  b"), (3, "joins:"), (4, "  a INNER b on a.k = b.k"), (5, "fields:"), (6, "  a.x = a.x [DIRECT]"), (7, "  n = count(*) [AGGREGATE]")], "place, line"))
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = report.summary(meta.extract(spark, "SELECT a.x, count(*) AS n FROM a JOIN b ON a.k = b.k GROUP BY a.x"))
-    return spark.createDataFrame([(len(text.split("\n")) + 1,)], "lines int")
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "place int, line string")
 
 
 def _lineage(name: str, sql: str, rows: list[tuple], fixture: bool = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not fixture:
-            use_folder(spark, sf_dir)
+            Engine(spark, sf_dir).use(sql)
         known = catalog.fixture() if fixture else None
         return lin.lineage(spark, sql, known).edges(spark, known).where("is_final").select("target", "category", "source_table", "source_column")
 
@@ -183,12 +184,16 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(at)
 
 
-@register("prs_03_console", _values([("SELECT id FROM ods.user_table", True), ("help", True), ("nonsense (", True)], "line, answered"))
+_REPLY = "tables: ods.user_table\nid = id [DIRECT]\n  <- ods.user_table.id\n└── id [DIRECT] id\n    └── ods.user_table.id"
+
+
+@register("prs_03_console", _values([("SELECT id FROM ods.user_table;", _REPLY), ("help", "type a query to see its lineage; exit or quit ends"), ("SELECT nothing FROM ods.user_table", "AnalysisException")], "line, answer"))
 def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.console import reply
 
-    lines = ("SELECT id FROM ods.user_table", "help", "nonsense (")
-    return spark.createDataFrame([(x, bool(reply(spark, x, catalog.fixture()))) for x in lines], "line string, answered boolean")
+    lines = ("SELECT id FROM ods.user_table;", "help", "SELECT nothing FROM ods.user_table")
+    answers = [reply(spark, x, catalog.fixture()) for x in lines]
+    return spark.createDataFrame([(x, a.split(":")[0] if "Exception" in a else a) for x, a in zip(lines, answers)], "line string, answer string")
 
 
 _ASK = {"sql": "SELECT id FROM ods.user_table", "connectorType": "mock"}
@@ -196,28 +201,55 @@ _ASK = {"sql": "SELECT id FROM ods.user_table", "connectorType": "mock"}
 
 @register("api_01_health", _values([("UP", "Lineage")], "status, service"))
 def api_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = report.answer(spark, "/health", {})
+    _, a = _served(spark, "/health")
     return spark.createDataFrame([(a["status"], a["service"])], "status string, service string")
 
 
-@register("api_02_extract", _values([("columns",), ("tables",), ("tree",)], "k"))
+def _served(spark: SparkSession, path: str, request: dict | None = None) -> tuple[int, dict]:
+    """Status and answer of a service that listens for this one request."""
+    import http.client
+    import json
+    import threading
+
+    from lakeloom.service import serve
+
+    server = serve(spark, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        c = http.client.HTTPConnection("127.0.0.1", server.server_port, timeout=60)
+        c.request("GET" if request is None else "POST", path, None if request is None else json.dumps(request), {"Content-Type": "application/json"})
+        r = c.getresponse()
+        return r.status, json.loads(r.read())
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@register("api_02_extract", _values([("SELECT id FROM ods.user_table", "ods.user_table", "id", "DIRECT", "id", "ods.user_table.id", True)], 'sql, "table", target, category, field, leaf, is_leaf'))
 def api_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in sorted(report.answer(spark, "/api/lineage/extract", _ASK))], "k string")
+    _, a = _served(spark, "/api/lineage/extract", _ASK)
+    node = a["columnLineageTree"][0]
+    row = (a["sql"], a["tableLineages"][0]["qualifiedName"], a["columnLineages"][0]["targetField"], a["columnLineages"][0]["category"], node["fieldName"], node["children"][0]["fieldName"], node["children"][0]["isLeaf"])
+    return spark.createDataFrame([row], "sql string, table string, target string, category string, field string, leaf string, is_leaf boolean")
 
 
-@register("api_03_tables", _values([("ods", "user_table")], '"database", "table"'))
+@register("api_03_tables", _values([("ods", "user_table", "MANAGED_TABLE")], '"database", "table", kind'))
 def api_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t["database"], t["table"]) for t in report.answer(spark, "/api/lineage/tables", _ASK)["tables"]], "database string, table string")
+    _, a = _served(spark, "/api/lineage/tables", _ASK)
+    return spark.createDataFrame([(t["database"], t["tableName"], t["tableType"]) for t in a["tableLineages"]], "database string, table string, kind string")
 
 
-@register("api_04_columns", _values([("id", "DIRECT")], "target, category"))
+@register("api_04_columns", _values([("id", "DIRECT", "ods.user_table", "id")], 'target, category, "table", "column"'))
 def api_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c["target"], c["category"]) for c in report.answer(spark, "/api/lineage/columns", _ASK)["columns"]], "target string, category string")
+    _, a = _served(spark, "/api/lineage/columns", _ASK)
+    return spark.createDataFrame([(c["targetField"], c["category"], s["table"], s["column"]) for c in a["columnLineages"] for s in c["sources"]], "target string, category string, table string, column string")
 
 
-@register("api_05_errors", _values([("/api/lineage/tables", 400), ("/nothing", 404)], "path, code"))
+@register("api_05_errors", _values([("/api/lineage/extract", 400, True, "SQL 语句不能为空"), ("/api/lineage/tables", 400, True, "连接器类型不能为空"), ("/nothing", 404, True, "接口不存在: /nothing"), ("/health", 200, False, None)], 'path, code, error, message'))
 def api_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p, report.answer(spark, p, {})["statusCode"]) for p in ("/api/lineage/tables", "/nothing")], "path string, code int")
+    asked = [("/api/lineage/extract", {"connectorType": "mock"}), ("/api/lineage/tables", {"sql": "SELECT 1"}), ("/nothing", {}), ("/health", None)]
+    got = [(p, *_served(spark, p, r)) for p, r in asked]
+    return spark.createDataFrame([(p, code, bool(a.get("error")), a.get("message")) for p, code, a in got], "path string, code int, error boolean, message string")
 
 
 # --- catalogs
@@ -237,6 +269,39 @@ def session_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHEET = "SELECT 's' AS sheet, CAST(NULL AS STRING) AS catalog, 'analytics' AS database, CAST(NULL AS STRING) AS db_owner, CAST(NULL AS STRING) AS db_comment, 'orders' AS table, 'me' AS table_owner, 'MANAGED' AS table_type, CAST(NULL AS STRING) AS table_comment, c AS column, 'STRING' AS data_type, p = false AS nullable, CAST(NULL AS STRING) AS column_comment, o AS ordinal, p AS is_partition, CAST(NULL AS STRING) AS default_value FROM VALUES ('ds', 1, true), ('id', 0, false) AS v(c, o, p)"
 
 
+def _workbook() -> bytes:
+    """A small .xlsx file: shared and inline texts, numbers, truth values, gaps."""
+    import io
+    import zipfile
+
+    cells = lambda row, at: "".join(f'<c r="{chr(65 + k)}{at}" t="{t}">{f"<is><t>{v}</t></is>" if t == "inlineStr" else f"<v>{v}</v>"}</c>' for k, (t, v) in enumerate(row) if v is not None)
+    head = [("s", i) for i in range(6)]
+    rows = [[("inlineStr", "analytics"), ("inlineStr", "orders"), ("inlineStr", c), ("inlineStr", "STRING"), ("n", o), ("b", p)] for c, o, p in (("ds", 1, 1), ("id", 0, None))]
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="first" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{x}</t></si>" for x in "database table column data_type ordinal is_partition".split()) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{k}">{cells(r, k)}</row>' for k, r in enumerate([head, *rows], 1)) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@register("src_23_excel_catalog", _values([("id", "STRING", 0, False, "first"), ("ds", "STRING", 1, True, "first")], "name, type, ordinal, partition_, sheet"))
+def excel_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.sources import scratch
+
+    at = scratch.path(spark, "workbook") + ".xlsx"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    file = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    file.write(_workbook())
+    file.close()
+    c = catalog.connect(spark, "excel", {"path": at})
+    sheet = c.frame.first().sheet
+    return spark.createDataFrame([(x.name, x.data_type, x.ordinal, x.partition, sheet) for x in c.columns("analytics.orders")], "name string, type string, ordinal int, partition_ boolean, sheet string")
+
+
 @register("src_23_rows_catalog", _values([("id", 0, False), ("ds", 1, True)], "name, ordinal, partition_"))
 def rows_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog.RowsCatalog(spark.sql(_SHEET))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.plans.engine import Engine
+from lakeloom.plans.engine import Engine, Refused
 from lakeloom.plans.registry import register
 from lakeloom.sources import scratch
 from lakeloom.sources.tables import read_source, read_table
@@ -182,11 +182,11 @@ def udf_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(spark.catalog.functionExists("gone")).alias("there"))
 
 
-@register("udf_03_sql_function", "SELECT o_orderkey, round(o_totalprice * 1.1, 2) AS v FROM orders")
+@register("udf_03_sql_function", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) * 1.1 AS DECIMAL(18,3)) AS v FROM orders")
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, sf_dir)
-    e.sql("CREATE OR REPLACE TEMPORARY FUNCTION with_tax(x DOUBLE, rate DOUBLE DEFAULT 0.1) RETURNS DOUBLE RETURN round(x * (1 + rate), 2)")
-    return e.sql("SELECT o_orderkey, with_tax(o_totalprice) AS v FROM orders")
+    e.sql("CREATE OR REPLACE TEMPORARY FUNCTION with_tax(x DECIMAL(14,2), rate DECIMAL(3,1) DEFAULT 0.1) RETURNS DECIMAL(18,3) RETURN x * (1 + rate)")
+    return e.sql("SELECT o_orderkey, with_tax(CAST(o_totalprice AS DECIMAL(14,2))) AS v FROM orders")
 
 
 @register("udf_04_script_function", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) >= 5")
@@ -282,10 +282,28 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, sf_dir).script("CREATE OR REPLACE TEMPORARY VIEW fourth AS SELECT * FROM nation WHERE n_regionkey = 4; SELECT n_name FROM fourth")
 
 
-@register("ddl_08_materialized_view", "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@register("ddl_08_materialized_view", "SELECT o_orderstatus, count(*) AS n, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1 UNION ALL SELECT 'before', 0, 0")
 def materialized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(spark, sf_dir)
-    return spark.table(_table(e, "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey", "mv"))
+    """Built of some rows; its base grows; rebuilt, it has them all. What it had before the rebuild is a row of its own."""
+    e, v = Engine(spark, sf_dir), scratch.table("mv")
+    t = _table(e, "SELECT * FROM orders WHERE false")
+    e.sql(f"CREATE MATERIALIZED VIEW IF NOT EXISTS {v} LIFECYCLE 7 COMMENT 'by status' DISABLE REWRITE AS SELECT o_orderstatus, count(*) AS n, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM {t} GROUP BY o_orderstatus")
+    before = spark.table(v).agg(F.lit("before").alias("o_orderstatus"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("total"))
+    before = spark.createDataFrame(before.collect(), before.schema)
+    e.script(f"INSERT INTO {t} SELECT * FROM orders; ALTER MATERIALIZED VIEW {v} REBUILD; ALTER MATERIALIZED VIEW {v} ENABLE REWRITE")
+    return spark.table(v).unionByName(before)
+
+
+@register("ddl_09_index_refused", "SELECT * FROM (VALUES ('CREATE INDEX'), ('CREATE MODEL'), ('GRANT SELECT')) v(refused)")
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of a service's administration are told from others, and refused by name."""
+    out = []
+    for text in ("CREATE INDEX i ON TABLE nation (n_name)", "CREATE MODEL m AS SELECT 1", "GRANT SELECT ON TABLE nation TO USER u"):
+        try:
+            Engine(spark, sf_dir).sql(text)
+        except Refused as e:
+            out.append((str(e).split(":")[0],))
+    return spark.createDataFrame(out, "refused string")
 
 
 @register("ddl_10_describe", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(col_name, data_type)")

@@ -22,7 +22,9 @@ dialect("src_06_values_table", "SELECT v.a, v.b FROM VALUES (1, 'x'), (2, 'y'),
 dialect("src_08_table_function", "SELECT a.c AS c FROM explode(array(1, 2, 3)) a(c)", "SELECT unnest([1, 2, 3]) AS c")
 dialect("src_11_tablesample_all", "SELECT count(*) AS n FROM nation TABLESAMPLE (100 PERCENT)", "SELECT count(*) AS n FROM nation")
 dialect("src_12_tablesample_bytes", "SELECT count(*) AS n FROM nation TABLESAMPLE (900M)", "SELECT count(*) AS n FROM nation")
-dialect("src_13_partition_filter", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")
+dialect("src_13_partition_spec", "SELECT o.o_orderstatus, count(*) AS n FROM orders PARTITION (o_orderstatus = 'F', o_orderpriority) o JOIN customer PARTITION(c_mktsegment='BUILDING') ON c_custkey = o_custkey GROUP BY o.o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' GROUP BY o_orderstatus")
+dialect("src_14_scan_properties", "SELECT n.n_nationkey, n.n_name, r_name FROM nation('mergeSchema'='true', 'pathGlobFilter'='*.parquet') n JOIN region ('mergeSchema'='false') ON r_regionkey = n.n_regionkey", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+dialect("src_18_parameterised_cte", "WITH dear(@least DOUBLE, @status STRING) AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > @least AND o_orderstatus = @status), taxed(@x DOUBLE) AS (@x * 2), few AS (SELECT 1 AS one) SELECT d.o_orderkey, taxed(d.o_totalprice) AS twice FROM dear(100000 * 3, 'F') d JOIN few ON one = 1", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F'")
 dialect("src_15_from_first", "FROM nation SELECT n_name, n_regionkey WHERE n_regionkey = 2", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
 dialect("src_16_cte", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000), few AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT c.c_name, f.n FROM few f JOIN customer c ON c.c_custkey = f.o_custkey")
 dialect("src_17_cte_columns", "WITH t(k, v) AS (SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey) SELECT k, v FROM t")
@@ -34,13 +36,15 @@ def table_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, sf_dir).script("@every := SELECT * FROM nation; SELECT v.n_regionkey, count(*) AS n FROM @every v GROUP BY v.n_regionkey")
 
 
-@register("src_09_partitioned_table_function", "SELECT o_custkey, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY o_custkey")
+@register("src_09_partitioned_table_function", "SELECT s_nationkey, count(*) * 10 AS n, max(s_acctbal) AS top, arg_max(s_name, s_acctbal) AS best FROM supplier GROUP BY s_nationkey")
 def partitioned_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function over each partition of a table: Arrow batches by key."""
-    def f(key, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"o_custkey": [key[0]], "n": [len(part)], "top": [round(part.o_totalprice.max(), 2)]})
+    """A Python function over each partition of a table, its rows in order, with an argument."""
+    def f(key, rows: pd.DataFrame, times: int) -> pd.DataFrame:
+        return pd.DataFrame({"s_nationkey": [key[0]], "n": [times * len(rows)], "top": [rows.s_acctbal.iloc[0]], "best": [rows.s_name.iloc[0]]})
 
-    return read_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").groupBy("o_custkey").applyInPandas(f, "o_custkey long, n long, top double")
+    e = Engine(spark, sf_dir)
+    e.register("best_of", f, "s_nationkey int, n long, top double, best string")
+    return e.sql("SELECT b.* FROM best_of(ON (SELECT s_nationkey, s_acctbal, s_name FROM supplier) q PARTITION BY s_nationkey ORDER BY s_acctbal DESC times(5 * 2)) b")
 
 
 @register("src_10_tablesample_bucket", "SELECT count(*) AS n FROM orders")
@@ -52,11 +56,6 @@ def tablesample_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_distinct("o_orderkey").alias("n"))
 
 
-@register("src_14_scan_options", "SELECT n_nationkey, n_name FROM nation")
-def scan_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.options(mergeSchema="false").parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-
-
 @register("src_18_parameterised_query", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
 def parameterised_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with a typed parameter: a SQL table function."""
@@ -82,7 +81,7 @@ dialect("prj_02_alias", "SELECT s_name AS supplier_name, s_acctbal balance FROM
 dialect("prj_03_multi_alias", "SELECT stack(2, 'a', 1, 'b', 2) AS (k, v)", "SELECT * FROM (VALUES ('a', 1), ('b', 2)) t(k, v)")
 dialect("prj_04_star", "SELECT r.*, n.n_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
 dialect("prj_05_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
-dialect("prj_06_expressions", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem")
+dialect("prj_06_expressions", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS charge FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(24,6)) AS charge FROM lineitem")
 dialect("flt_01_where", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 5 AND l_discount > 0.05")
 dialect("flt_02_having", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 500")
 dialect("flt_02_having_global", "SELECT count(*) AS n FROM nation HAVING count(*) > 10")
@@ -97,12 +96,11 @@ def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("prj_08_map_reduce", "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1")
 def map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MAP to (priority, 1); REDUCE sorted batches to partial counts, which a last sum puts together."""
+    """MAP to (priority, 1); REDUCE each key's frames to its count."""
     from lakeloom.operators import scripts
 
     pairs = scripts.map_rows(read_table(spark, sf_dir, "orders").select("o_orderpriority"), lambda b: pd.DataFrame({"p": b.o_orderpriority, "one": 1}), "p string, one long")
-    part = scripts.reduce_rows(pairs, ["p"], lambda b: b.groupby("p", as_index=False)["one"].sum(), "p string, one long")
-    return part.groupBy("p").agg(F.sum("one").alias("n"))
+    return scripts.reduce_rows(pairs, ["p"], lambda key, frames: pd.DataFrame({"p": [key[0]], "n": [sum(int(b.one.sum()) for b in frames)]}), "p string, n long")
 
 
 dialect("prd_01_comparison", "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size <> 20 AND p_size != 30 AND p_retailprice < 1500 AND p_brand == 'Brand#13'", "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size <> 20 AND p_size <> 30 AND p_retailprice < 1500 AND p_brand = 'Brand#13'")
@@ -148,12 +146,19 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.range_join(read_table(spark, sf_dir, "supplier"), bands, "s_acctbal", "lo", "hi", 500.0).select("s_suppkey", "lo")
 
 
-@register("jon_15_user_defined", "SELECT n_regionkey AS k, count(*) AS nations, max(r_name) AS name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@register("jon_12_range_outer", "SELECT s.s_suppkey, b.lo FROM supplier s FULL JOIN (SELECT CAST(unnest(range(-30000, 30000, 1000)) AS DOUBLE) AS lo) b ON s.s_acctbal BETWEEN b.lo AND b.lo + CASE WHEN b.lo = 2000 THEN 1000000 ELSE 900 END")
+def range_join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands without suppliers, suppliers between bands, and one band of a thousand times the others' length."""
+    bands = spark.range(-30000, 30000, 1000).select(F.col("id").cast("double").alias("lo")).withColumn("hi", F.expr("lo + CASE WHEN lo = 2000 THEN 1000000 ELSE 900 END"))
+    return joins.range_join(read_table(spark, sf_dir, "supplier"), bands, "s_acctbal", "lo", "hi", 300.0, "full").select("s_suppkey", "lo")
+
+
+@register("jon_15_user_defined", "SELECT n_regionkey AS k, count(*) AS nations, min(n_name) AS first, max(r_name) AS name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def user_defined_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), "n_name")
-    b = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), "r_name")
-    f = lambda x, y: pd.DataFrame({"k": x.k[:1], "nations": [len(x)], "name": y.r_name[:1].tolist()})
-    return joins.user_defined_join(a, b, ["k"], f, "k int, nations long, name string", ["n_name"])
+    """JOIN .. USING f(..): the function gets both sides' rows of a key, in order."""
+    e = Engine(spark, sf_dir)
+    e.register("matched", lambda a, b: pd.DataFrame({"k": a.k0[:1], "nations": [len(a)], "first": a.n_name[:1].tolist(), "name": b.r_name[:1].tolist()}), "k int, nations long, first string, name string")
+    return e.sql("SELECT m.k, m.nations, m.first, m.name FROM (SELECT n_regionkey, n_name FROM nation) n JOIN region r ON n.n_regionkey = r.r_regionkey USING matched(n.n_name, r.r_name) m AS (k, nations, first, name) SORT BY n.n_name WHERE m.nations > 0")
 
 
 @register("hnt_02_skewjoin_salted", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 100000")

@@ -26,19 +26,27 @@ dialect("win_15_inside_expression", f"SELECT {_O}, round(o_totalprice / sum(o_to
 dialect("agg_09_filter_over", f"SELECT {_O}, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 1 PRECEDING) AS s FROM orders", f"SELECT {_O}, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 1 PRECEDING) AS s FROM orders")
 
 
-@register("win_08_groups", f"SELECT {_O}, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders")
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return frames.groups_frame(o, ["o_custkey"], ["o_orderpriority"], -1, 0, n=F.count(F.lit(1))).drop("o_orderpriority")
+_G = "PARTITION BY o_custkey ORDER BY o_orderpriority DESC"
+dialect("win_08_groups", f"SELECT {_O}, count(*) OVER ({_G} GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n, round(sum(o_totalprice) OVER ({_G} GROUPS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 2) AS s FROM orders")
+dialect("win_08_groups_named", f"SELECT {_O}, max(o_totalprice) OVER w AS m, min(o_orderkey) OVER (w) AS k FROM orders WINDOW w AS ({_G} GROUPS 1 PRECEDING)", f"SELECT {_O}, max(o_totalprice) OVER w AS m, min(o_orderkey) OVER w AS k FROM orders WINDOW w AS ({_G} GROUPS 1 PRECEDING)")
 
 
-def _excluded(kind: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.expr("s_suppkey % 3").alias("g"))
-        return frames.excluding(s, ["s_nationkey"], ["g"], "s_suppkey", kind, "v").select("s_suppkey", "v")
-
-    return run
+def _all(frame: str) -> str:
+    each = (("sum(o_orderkey)", "s"), ("count(o_orderkey)", "c"), ("avg(o_orderkey)", "a"), ("min(o_orderkey)", "lo"), ("max(o_orderkey)", "hi"))
+    cast = {"s": "CAST({} AS BIGINT)", "a": "round({}, 6)"}
+    return ", ".join(f"{cast.get(n, '{}').format(f'{f} OVER ({frame})')} AS {n}" for f, n in each)
 
 
+_WHOLE, _UNIQUE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", "PARTITION BY o_custkey ORDER BY o_orderkey"
 for _k in ("current row", "group", "ties", "no others"):
-    register(f"win_11_exclude_{_k.replace(' ', '_')}", f"SELECT s_suppkey, CAST(sum(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {_k.upper()}) AS BIGINT) AS v FROM supplier")(_excluded(_k))
+    dialect(f"win_11_exclude_{_k.replace(' ', '_')}", f"SELECT o_orderkey, {_all(f'{_G} {_WHOLE} EXCLUDE {_k.upper()}')} FROM orders")
+    dialect(f"win_11_groups_exclude_{_k.replace(' ', '_')}", f"SELECT o_orderkey, {_all(f'{_G} GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE {_k.upper()}')} FROM orders")
+dialect("win_11_rows_exclude_current_row", f"SELECT o_orderkey, {_all(f'{_UNIQUE} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW')} FROM orders")
+dialect("win_11_range_exclude_ties", "SELECT s_suppkey, CAST(sum(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 7 RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS BIGINT) AS s, count(*) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 7 RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS n FROM supplier")
+
+
+@register("win_08_groups_frame", f"SELECT {_O}, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders")
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a DataFrame."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return frames.groups_frame(o, ["o_custkey"], ["o_orderpriority"], -1, 0, n=F.count(F.lit(1))).drop("o_orderpriority")

@@ -57,35 +57,52 @@ class BadRequest(ValueError):
     code = 400
 
 
+#: What a service's clients are told.
+_MISSING = {"sql": "SQL 语句不能为空", "connectorType": "连接器类型不能为空"}
+_UNKNOWN = "接口不存在: "
+
+
 def error(e: Exception) -> dict:
-    return {"error": type(e).__name__, "message": str(e), "statusCode": getattr(e, "code", 500)}
+    return {"error": True, "type": type(e).__name__, "message": str(e), "statusCode": getattr(e, "code", 500)}
 
 
 def health() -> dict:
     return {"status": "UP", "service": "Lineage"}
 
 
+def _node(x: dict) -> dict:
+    return {"fieldName": x["field"], "expression": x["expression"], "category": x["category"], "isLeaf": x["is_leaf"], "children": [_node(c) for c in x["children"]]}
+
+
 def answer(spark: SparkSession, path: str, request: Mapping[str, object]) -> dict:
-    """What a service would answer to /health and /api/lineage/{extract,tables,columns}; errors as an envelope."""
+    """What a service answers to /health and /api/lineage/{extract,tables,columns}; errors as an envelope."""
     try:
         if path == "/health":
             return health()
         if path not in ("/api/lineage/extract", "/api/lineage/tables", "/api/lineage/columns"):
-            e = BadRequest(f"no such path: {path}")
+            e = BadRequest(_UNKNOWN + path)
             e.code = 404
             raise e
-        for name in ("sql", "connectorType"):
-            if not request.get(name):
-                raise BadRequest(f"{name} is missing")
-        catalog = connect(spark, str(request["connectorType"]), request.get("connectorConfig") or {})
+        for name, told in _MISSING.items():
+            if not str(request.get(name) or "").strip():
+                raise BadRequest(told)
+        try:
+            catalog = connect(spark, str(request["connectorType"]), request.get("connectorConfig") or {})
+        except (ValueError, KeyError) as e:
+            raise BadRequest(str(e)) from e
         found = lineage(spark, str(request["sql"]), catalog)
-        tables = [{"database": t.rpartition(".")[0], "table": t.rpartition(".")[2]} for t in found.tables]
-        columns = [{"target": c.name, "expression": c.expression, "category": c.category, "sources": [{"table": t, "column": n} for t, n in s]} for c, s in zip(found.columns, found.sources)]
-        out: dict = {}
+        out: dict = {"sql": request["sql"]}
         if path != "/api/lineage/columns":
-            out["tables"] = tables
+            out["tableLineages"] = []
+            for name in found.tables:
+                t = catalog.resolve(name)
+                out["tableLineages"].append({"qualifiedName": name, "database": name.rpartition(".")[0], "tableName": name.rpartition(".")[2], "tableType": t.kind if t else None, "comment": t.comment if t else None})
         if path != "/api/lineage/tables":
-            out |= {"columns": columns, "tree": tree(found)}
+            out["columnLineages"] = [
+                {"targetField": c.name, "expression": c.expression, "category": c.category, "isFinalOutput": True, "sources": [{"table": t, "column": n} for t, n in s]} for c, s in zip(found.columns, found.sources)
+            ]
+        if path == "/api/lineage/extract":
+            out["columnLineageTree"] = [_node(x) for x in tree(found)]
         return out
     except Exception as e:  # an answer in any case
         return error(e)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from lakeloom.plans.framing import frames
 from lakeloom.plans.tokens import FULL_WIDTH, Token, closing, opening, render, significant, tokenize
 
 
@@ -20,6 +21,7 @@ class Context:
     tables: set[str] = field(default_factory=set)
     scalars: set[str] = field(default_factory=set)
     table_bytes: Callable[[str], int | None] = lambda name: None
+    scan: Callable[[str, dict[str, str]], str] = lambda name, options: name
     zorder: list[str] = field(default_factory=list)
 
 
@@ -496,9 +498,117 @@ def lateral_in_joins(ts: list[Token], c: Context) -> list[Token]:
     return ts
 
 
+def function_ctes(ts: list[Token], c: Context) -> list[Token]:
+    """WITH f(@a INT) AS (query or expression): its calls become its text, with the arguments, cast, in place of the parameters."""
+    ts = list(ts)
+    k = 0
+    while k < len(ts):
+        if not (ts[k].up == "WITH" and ts[k].kind == "word"):
+            k += 1
+            continue
+        at, kept, made = _next(ts, k), [], {}
+        while at < len(ts) and ts[at].kind in ("word", "quoted"):
+            first, name = at, ts[at].text.strip("`").lower()
+            o, params = _next(ts, at), None
+            if _is(ts, o, "("):
+                z = closing(ts, o)
+                inner = significant(ts[o + 1 : z])
+                if inner and inner[0].text[0] == "@":
+                    params = [(p[0].text, " ".join(t.text for t in p[1:])) for p in map(significant, _split(ts[o + 1 : z]))]
+                o = _next(ts, z)
+            while params is not None and o < len(ts) and not _is(ts, o, "AS"):  # RETURNS @r type
+                o = _next(ts, o)
+            if not _is(ts, o, "AS") or not _is(ts, b := _next(ts, o), "("):
+                break
+            z = closing(ts, b)
+            if params is None:
+                kept.append(render(ts[first : z + 1]))
+            else:
+                made[name] = params, ts[b + 1 : z]
+            at = _next(ts, z)
+            if not _is(ts, at, ","):
+                break
+            at = _next(ts, at)
+        if made:
+            ts[k:at] = [_t(f"WITH {', '.join(kept)} " if kept else "", ts[k])]
+            ts = tokenize(_calls(tokenize(render(ts)), made))
+        k += 1
+    return ts
+
+
+def _calls(ts: list[Token], made: dict[str, tuple[list[tuple[str, str]], list[Token]]]) -> str:
+    out, k = [], 0
+    while k < len(ts):
+        name = ts[k].text.strip("`").lower()
+        if ts[k].kind in ("word", "quoted") and name in made and _is(ts, o := _next(ts, k), "("):
+            z = closing(ts, o)
+            args = [_calls(a, made).strip() for a in _split(ts[o + 1 : z]) if significant(a)]
+            params, body = made[name]
+            if len(args) != len(params):
+                raise ValueError(f"{name} takes {len(params)} arguments, not {len(args)}")
+            value = {p.lower(): f"CAST({a} AS {kind})" if kind else f"({a})" for (p, kind), a in zip(params, args)}
+            text = "(" + _calls(tokenize("".join(value.get(t.text.lower(), t.text) if t.kind == "word" else t.text for t in body)), {n: m for n, m in made.items() if n != name}) + ")"
+            p = _prev(ts, k)
+            after = _next(ts, z)
+            if _is(ts, p, "FROM", "JOIN") and not (after < len(ts) and (_is(ts, after, "AS") or ts[after].kind in ("word", "quoted") and ts[after].up not in _AFTER_SOURCE)):
+                text += f" {name}"
+            out.append(text)
+            k = z
+        else:
+            out.append(ts[k].text)
+        k += 1
+    return "".join(out)
+
+
+#: Words that come after a table without an alias.
+_AFTER_SOURCE = frozenset("ON USING WHERE GROUP HAVING ORDER SORT CLUSTER DISTRIBUTE ZORDER LIMIT OFFSET UNION INTERSECT EXCEPT MINUS JOIN LEFT RIGHT FULL INNER CROSS NATURAL LATERAL WINDOW TABLESAMPLE SEMI ANTI SELECT INSERT".split())
+
+
+def scan_clauses(ts: list[Token], c: Context) -> list[Token]:
+    """t PARTITION (k = v, j) in a FROM -> the rows of those partitions; t ('k' = 'v') -> t read with these options."""
+    ts = list(ts)
+    k = 0
+    while k < len(ts):
+        p = _prev(ts, k)
+        if ts[k].kind in ("word", "quoted") and (_is(ts, p, "FROM", "JOIN") or _is(ts, p, ",") and _in_from(ts, p)) and not _is(ts, _prev(ts, p), "DELETE"):
+            end = k
+            while _is(ts, _next(ts, end), "."):
+                end = _next(ts, _next(ts, end))
+            name, last, n = render(ts[k : end + 1]), ts[end].text, _next(ts, end)
+            text, stop = name, end
+            if _is(ts, n, "(") and (inner := significant(ts[n + 1 : closing(ts, n)])) and inner[0].kind == "string" and len(inner) > 2 and inner[1].text == "=":
+                options = {x[0].text[1:-1]: x[2].text.strip("'\"") for x in map(significant, _split(ts[n + 1 : closing(ts, n)]))}
+                text, stop = c.scan(name, options), closing(ts, n)
+                n = _next(ts, stop)
+            if _is(ts, n, "PARTITION") and _is(ts, o := _next(ts, n), "("):
+                stop = closing(ts, o)
+                given = [render(x).strip() for x in _split(ts[o + 1 : stop]) if any(t.text == "=" for t in x)]
+                text = f"(SELECT * FROM {text}{' WHERE ' + ' AND '.join(given) if given else ''})"
+            if stop > end:
+                after = _next(ts, stop)
+                named = after < len(ts) and (_is(ts, after, "AS") or ts[after].kind in ("word", "quoted") and ts[after].up not in _AFTER_SOURCE)
+                ts[k : stop + 1] = [_t(text if named else f"{text} {last}", ts[k])]
+        k += 1
+    return ts
+
+
+def _in_from(ts: list[Token], k: int) -> bool:
+    """Whether a comma stands between sources: the last clause before it at its depth is FROM."""
+    depth = 0
+    while k >= 0:
+        if ts[k].kind == "op":
+            depth += (ts[k].text == ")") - (ts[k].text == "(")
+        if depth < 0:
+            return False
+        if not depth and ts[k].kind == "word" and ts[k].up in ("SELECT", "FROM", "WHERE", "BY", "HAVING", "ON", "VALUES", "SET", "WINDOW", "WITH"):
+            return ts[k].up == "FROM"
+        k -= 1
+    return False
+
+
 RULES = [
-    full_width, parameters, charset_strings, variables, hints, zorder, unique_join, lateral_in_joins, bucket_sample, limit_pair, several_on, lambda_functions, interval_expressions, qualified_functions,
-    method_calls, filter_over, extended_windows, typed_words, renamed_functions, xor_precedence,
+    full_width, parameters, charset_strings, function_ctes, variables, hints, zorder, unique_join, lateral_in_joins, scan_clauses, bucket_sample, limit_pair, several_on, lambda_functions, interval_expressions,
+    qualified_functions, method_calls, filter_over, extended_windows, frames, typed_words, renamed_functions, xor_precedence,
 ]
 
 

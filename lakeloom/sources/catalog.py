@@ -1,6 +1,6 @@
 """Catalogs: databases, tables and columns that queries are resolved against.
 
-A catalog is rows of columns, from the session, a DataFrame, CSV or Parquet files, or given in Python. Large catalogs are
+A catalog is rows of columns, from the session, a DataFrame, CSV, Parquet or .xlsx files, or given in Python. Large catalogs are
 grouped by Spark; what a query names is looked up table by table and kept.
 """
 
@@ -196,6 +196,24 @@ class RowsCatalog(Catalog):
         return self._tables[(database, name)]
 
 
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows (see ROWS) of a workbook's sheets, whose first rows name the columns; ``sheet`` is the sheet's own name.
+
+    A workbook is read on the driver: its size is that of one file that people fill in.
+    """
+    from lakeloom.sources.workbook import sheets
+
+    kinds = [x.split(" ") for x in ROWS.split(", ")]
+    read = {"string": str, "int": lambda x: int(float(x)), "boolean": lambda x: x.strip().lower() in ("true", "1", "y", "yes", "是")}
+    out = []
+    for r in spark.read.format("binaryFile").load(path).select("content").collect():
+        for name, rows in sheets(bytes(r.content)):
+            for row in rows:
+                low = {k.lower(): v for k, v in row.items()} | {"sheet": name}
+                out.append(tuple(read[kind](low[c]) if c in low else None for c, kind in kinds))
+    return spark.createDataFrame(out, ROWS)
+
+
 def fixture() -> Catalog:
     """A small database ``ods`` of users, orders and products, for trying things out."""
     c = ColumnMeta
@@ -211,12 +229,13 @@ _KINDS: dict[str, Callable[[SparkSession, Mapping[str, str]], Catalog]] = {
     "csv": lambda spark, conf: RowsCatalog(spark.read.csv(conf["path"], header=True, schema=ROWS)),
     "parquet": lambda spark, conf: RowsCatalog(spark.read.parquet(conf["path"])),
     "rows": lambda spark, conf: RowsCatalog(spark.table(conf["table"])),
+    "excel": lambda spark, conf: RowsCatalog(workbook_rows(spark, conf["path"])),
     "mock": lambda spark, conf: fixture(),
 }
 
 
 def connect(spark: SparkSession, kind: str, config: Mapping[str, str] | None = None) -> Catalog:
-    """A catalog by kind: session, csv, parquet, rows (a table or view of the session) or mock."""
+    """A catalog by kind: session, csv, parquet, excel (an .xlsx workbook), rows (a table or view of the session) or mock."""
     if kind.lower() not in _KINDS:
         raise ValueError(f"no catalog kind {kind!r}; there are {', '.join(_KINDS)}")
     return _KINDS[kind.lower()](spark, config or {})

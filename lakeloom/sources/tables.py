@@ -15,7 +15,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def use_folder(spark: SparkSession, folder: str, names: list[str] | None = None) -> None:
-    """A temporary view for each table of a folder; nothing is read until a query needs it."""
+    """A temporary view for each table of a folder (or those named): their footers are read, not their rows."""
     for name in names or TABLES:
         read_table(spark, folder, name).createOrReplaceTempView(name)
 

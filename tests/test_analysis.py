@@ -58,7 +58,8 @@ def test_case_and_cast_keep_sources(spark):
 
 def test_answers(spark):
     assert report.answer(spark, "/api/lineage/tables", {"connectorType": "mock"})["statusCode"] == 400
-    assert report.answer(spark, "/api/lineage/tables", {"sql": "SELECT 1", "connectorType": "none"})["statusCode"] == 500
+    assert report.answer(spark, "/api/lineage/tables", {"sql": "SELECT 1", "connectorType": "none"})["statusCode"] == 400
+    assert report.answer(spark, "/api/lineage/tables", {"sql": "SELECT (", "connectorType": "mock"})["statusCode"] == 500
 
 
 def test_format_keeps_meaning(spark, data):

@@ -26,8 +26,8 @@ def test_mapjoin_broadcasts(spark, data):
 
 def test_bucketed_join_has_no_exchange(spark, data):
     e, a, b = Engine(spark, data), scratch.table("x"), scratch.table("y")
-    spark.table("customer").write.bucketBy(4, "c_custkey").sortBy("c_custkey").saveAsTable(a)
-    spark.table("orders").write.bucketBy(4, "o_custkey").sortBy("o_custkey").saveAsTable(b)
+    e.sql("SELECT * FROM customer").write.bucketBy(4, "c_custkey").sortBy("c_custkey").saveAsTable(a)
+    e.sql("SELECT * FROM orders").write.bucketBy(4, "o_custkey").sortBy("o_custkey").saveAsTable(b)
     text = plan(e.sql(f"SELECT /*+ MERGE({a}) */ c_custkey, count(*) FROM {a} JOIN {b} ON c_custkey = o_custkey GROUP BY c_custkey"))
     assert "Exchange" not in text
 
