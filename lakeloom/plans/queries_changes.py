@@ -182,10 +182,10 @@ def udf_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(spark.catalog.functionExists("gone")).alias("there"))
 
 
-@register("udf_03_sql_function", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) * 1.1 AS DECIMAL(18,3)) AS v FROM orders")
+@register("udf_03_sql_function", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) * 1.1 AS DOUBLE) AS v FROM orders")
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, sf_dir)
-    e.sql("CREATE OR REPLACE TEMPORARY FUNCTION with_tax(x DECIMAL(14,2), rate DECIMAL(3,1) DEFAULT 0.1) RETURNS DECIMAL(18,3) RETURN x * (1 + rate)")
+    e.sql("CREATE OR REPLACE TEMPORARY FUNCTION with_tax(x DECIMAL(14,2), rate DECIMAL(3,1) DEFAULT 0.1) RETURNS DOUBLE RETURN CAST(x * (1 + rate) AS DOUBLE)")
     return e.sql("SELECT o_orderkey, with_tax(CAST(o_totalprice AS DECIMAL(14,2))) AS v FROM orders")
 
 

@@ -81,7 +81,7 @@ dialect("prj_02_alias", "SELECT s_name AS supplier_name, s_acctbal balance FROM
 dialect("prj_03_multi_alias", "SELECT stack(2, 'a', 1, 'b', 2) AS (k, v)", "SELECT * FROM (VALUES ('a', 1), ('b', 2)) t(k, v)")
 dialect("prj_04_star", "SELECT r.*, n.n_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
 dialect("prj_05_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
-dialect("prj_06_expressions", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS charge FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(24,6)) AS charge FROM lineitem")
+dialect("prj_06_expressions", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS charge FROM lineitem")
 dialect("flt_01_where", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 5 AND l_discount > 0.05")
 dialect("flt_02_having", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 500")
 dialect("flt_02_having_global", "SELECT count(*) AS n FROM nation HAVING count(*) > 10")
