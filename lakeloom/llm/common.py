@@ -37,7 +37,7 @@ def ship(spark: SparkSession) -> SparkSession:
     Arrow batches of long texts are wanted small (unless the session says otherwise): each task holds some of them, on both sides.
     """
     sc = spark.sparkContext
-    if spark.conf.get(_ROWS) == "10000":
+    if not spark._jsparkSession.conf().getAll().contains(_ROWS):
         spark.conf.set(_ROWS, "1000")
     if not getattr(sc, "_lakeloom_shipped", False):
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -53,7 +53,10 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 class Workspace:
-    """Parquet tables in the shared folder. They cut lineage, so a lost executor costs one step only."""
+    """Parquet tables in the shared folder. They cut lineage, so a lost executor costs one step only.
+
+    What ``drop`` and ``finish`` leave goes when the session ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str, codec: str = "snappy"):
         self.spark, self.codec = ship(spark), codec
@@ -67,6 +70,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").option("compression", self.codec).parquet(path)
+        fs, at = self._fs(self.base)
+        fs.deleteOnExit(at)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -232,6 +232,38 @@ def _repeats(least: int, suffixes: int):
     return run
 
 
+def _groups(least: int, suffixes: int):
+    """Regions sorted by key -> maximal repeats: (repeat, length, key, rh, at), at the place in the region, for all occurrences."""
+    names = ["repeat", "length", "key", "rh", "at"]
+
+    def groups(held):
+        texts = [x[5] for x in held]
+        cols = [[] for _ in names]
+        for depth, owner, first in maximal_repeats(texts, [((x[2], x[3]), x[4]) for x in held], least):
+            o, f = owner.tolist(), first.tolist()
+            repeat = xxhash.xxh3_64_intdigest(texts[o[0]][f[0] : f[0] + depth])
+            for c, v in zip(cols, ([repeat] * len(o), [depth] * len(o), [held[i][0] for i in o], [held[i][1] for i in o], f)):
+                c += v
+        signed = pa.array(np.array(cols[0], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([signed, *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int32())))], names)
+
+    def run(it):
+        held, key, many = [], None, 0
+        for b in it:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "rh", "doc_id", "t", "lo", "region"))):
+                if row[0] != key:
+                    key = row[0]
+                    if many > suffixes:
+                        yield groups(held)
+                        held, many = [], 0
+                held.append(row)
+                many += len(row[5]) - least + 1
+        if held:
+            yield groups(held)
+
+    return run
+
+
 def union(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of several owners, sorted, those of one owner that overlap or touch made one."""
     order = np.lexsort((hi, lo, owner))
@@ -246,18 +278,25 @@ def union(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return owner[at], lo[at], (reach - rank * step)[last] if len(at) else hi
 
 
-def _windows(least: int):
+_WINDOWS = "w1 long, w2 long, doc_id long, t long, lo int"
+
+
+def _windows(least: int, groups: bool):
+    """Regions -> their windows by hash; for groups also where in which region they are."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()) + ((pa.int64(), pa.int64(), pa.int32()) if groups else ())
+    names = [x.split()[0] for x in _WINDOWS.split(", ")] + (["key", "rh", "at"] if groups else [])
+
     def run(it):
         digest = xxhash.xxh3_128_intdigest
         for b in it:
-            cols = [[], [], [], [], []]
-            for doc_id, t, lo, region in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "lo", "region"))):
+            cols = [[] for _ in kinds]
+            rows = [b.column(c).to_pylist() for c in ("doc_id", "t", "lo", "region", *(("key", "rh") if groups else ()))]
+            for doc_id, t, lo, region, *of in zip(*rows):
                 for s in range(len(region) - least + 1):
                     h = digest(region[s : s + least])
-                    for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), doc_id, t, lo + s)):
+                    for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), doc_id, t, lo + s, *of, s)):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], ["w1", "w2", "doc_id", "t", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], names)
 
     return run
 
@@ -267,6 +306,17 @@ def _by_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "t").agg(F.collect_list(pair).alias("spans"))
 
 
+def repeat_groups(spark: SparkSession, docs: DataFrame, least: int = 200, k: int = 64, group: int = 20_000, suffixes: int = 60_000) -> DataFrame:
+    """Groups of equal passages with all their occurrences: repeat (a hash of the passage or of its class), length, doc_id, t, start.
+
+    Passages are those of ``repeated_spans``, in bytes, maximal within a context of 2 * ``least`` - ``k`` bytes around an anchor: one
+    cannot be longer there with the same occurrences. A longer passage comes as a chain of groups of the same documents whose places go on.
+    Together the groups cover just the bytes that ``repeated_spans`` does.
+    """
+    ws = Workspace(spark, "groups", "zstd")
+    return ws.finish(_search(spark, docs, least, k, group, suffixes, ws, True))
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: int = 64, group: int = 20_000, suffixes: int = 60_000, ws: Workspace | None = None) -> DataFrame:
     """For each text with repeats: doc_id, t, spans (each lo * 2**32 + hi, as they come), of UTF-8 bytes.
 
@@ -275,7 +325,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     t is xxhash64 of the text; rows that agree in doc_id and text are copies of each other and have the same spans. Null text
     is empty; a null doc_id is an id like others. Texts under ``least`` bytes have no spans. k must be a power of two.
     """
-    ws = ws or Workspace(spark, "suffix", "zstd")
+    return _search(spark, docs, least, k, group, suffixes, ws or Workspace(spark, "suffix", "zstd"), False)
+
+
+def _search(spark: SparkSession, docs: DataFrame, least: int, k: int, group: int, suffixes: int, ws: Workspace, groups: bool) -> DataFrame:
     text = _keyed(docs)
     anchors = ws.save(text.mapInArrow(_anchors(least, k), _ANCHORS), "anchors")
     again = anchors.groupBy("ah").agg(F.count(F.lit(1)).alias("c"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("c > 1").select("ah", "c", (F.col("x") == F.col("y")).alias("single"))
@@ -288,7 +341,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     kinds = ws.save(several.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("c"), *some("doc_id", "t", "pos", "size")), "kinds")
     alike = counted_join(several, kinds.where("c > 1").select("ah", "ch", "c"), ["ah", "ch"], total)
     lo, hi = F.greatest(F.col("pos") - (least - k), F.lit(0)).alias("lo"), F.least(F.col("pos") + least, F.col("size")).alias("hi")
-    direct = found.where("single").unionByName(alike).select("doc_id", "t", lo, hi).where(F.col("hi") - F.col("lo") >= least)
+    known = [F.xxhash64("ah", "ch").alias("repeat")] if groups else []
+    direct = found.where("single").unionByName(alike).select(*known, "doc_id", "t", lo, hi).where(F.col("hi") - F.col("lo") >= least)
     want = kinds.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", lo, hi)).alias("want"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))
     texts = text.alias("a").join(want.alias("b"), same).select("a.doc_id", "a.t", "a.text", "b.want")
@@ -298,26 +352,39 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = 200, k: in
     parts = ws.save(contexts.mapInArrow(_parts(least, k), _PARTS), "parts")
     regions = ws.save(parts.groupBy("key", "rh").agg(F.count(F.lit(1)).alias("c"), *some("doc_id", "t", "pos", "lo", "hi")), "regions")
     ws.release()
-    direct = direct.unionByName(counted_join(parts, regions.where("c > 1").select("key", "rh", "c"), ["key", "rh"], parts.count()).select("doc_id", "t", "lo", "hi"))
-    direct = ws.save(_by_text(direct), "direct")
-    ws.drop("found", "kinds", "parts")
+    known = [F.xxhash64("key", "rh").alias("repeat")] if groups else []
+    direct = direct.unionByName(counted_join(parts, regions.where("c > 1").select("key", "rh", "c"), ["key", "rh"], parts.count()).select(*known, "doc_id", "t", "lo", "hi"))
+    direct = ws.save(direct if groups else _by_text(direct), "direct")
+    ws.drop("found", "kinds", *(() if groups else ("parts",)))
     ws.release()
     size = regions.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     left = regions.drop("c").join(size.hint("shuffle_hash"), "key").alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.pos") == F.col("b.pos"))
     cut = F.expr("substring(b.ctx, a.lo - b.lo + 1, a.hi - a.lo)")
-    left = ws.save(left.join(contexts.alias("b"), same).select("key", "c", "a.doc_id", "a.t", "a.lo", cut.alias("region")), "left")
+    left = ws.save(left.join(contexts.alias("b"), same).select("key", "c", *(["rh"] if groups else []), "a.doc_id", "a.t", "a.lo", cut.alias("region")), "left")
     ws.drop("contexts", "regions")
     ws.release()
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usual = left.where(F.col("c") <= group).drop("c").repartition(count, "key").sortWithinPartitions("key")
-    spans = usual.mapInArrow(_repeats(least, suffixes), _SPANS)
+    if groups:
+        maximal = ws.save(usual.mapInArrow(_groups(least, suffixes), "repeat long, length int, key long, rh long, at int"), "maximal")
+        places = maximal.join(parts.drop("pos", "hi"), ["key", "rh"]).select("repeat", "length", "doc_id", "t", (F.col("lo") + F.col("at")).alias("start"))
+        places = places.unionByName(direct.select("repeat", (F.col("hi") - F.col("lo")).alias("length"), "doc_id", "t", F.col("lo").alias("start")))
+    else:
+        spans = usual.mapInArrow(_repeats(least, suffixes), _SPANS)
     large = left.where(F.col("c") > group).drop("c")
     if not large.isEmpty():
-        windows = ws.save(large.mapInArrow(_windows(least), "w1 long, w2 long, doc_id long, t long, lo int"), "windows")
+        windows = ws.save(large.mapInArrow(_windows(least, groups), _WINDOWS + (", key long, rh long, at int" if groups else "")), "windows")
         place = F.struct("doc_id", "t", "lo")
         ends = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y").select("w1", "w2", "c")
-        spans = spans.unionByName(counted_join(windows, ws.save(ends, "ends"), ["w1", "w2"], windows.count()).select("doc_id", "t", "lo", (F.col("lo") + least).alias("hi")))
+        several = counted_join(windows, ws.save(ends, "ends"), ["w1", "w2"], windows.count())
+        if groups:
+            same = several.join(parts.select("key", "rh", "doc_id", "t", "lo").withColumnsRenamed({"doc_id": "d", "t": "u", "lo": "l"}), ["key", "rh"])
+            places = places.unionByName(same.select(F.xxhash64("w1", "w2").alias("repeat"), F.lit(least).alias("length"), F.col("d").alias("doc_id"), F.col("u").alias("t"), (F.col("l") + F.col("at")).alias("start")))
+        else:
+            spans = spans.unionByName(several.select("doc_id", "t", "lo", (F.col("lo") + least).alias("hi")))
+    if groups:
+        return places.distinct()
     spans = ws.save(_by_text(spans).unionByName(direct).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     ws.drop("direct", "left", "windows", "ends")
     ws.release()

@@ -107,6 +107,25 @@ def test_very_long_texts(spark):
     assert got == dict(zip(texts, brute(list(texts.values()), 200)))
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_groups_have_all_occurrences(spark, group):
+    """Members of a group hold one string, it is not all of one place, and together the groups cover what is removed."""
+    texts = corpus(3) | {3000 + i: f"{'xyz'[i % 3] * 9} {' '.join(f'shared{j}' for j in range(50))} {i}" for i in range(9)}
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    at, covered = {}, {i: bytearray(len(b)) for i, b in raw.items()}
+    for r in suffix.repeat_groups(spark, frame(spark, texts), group=group).collect():
+        at.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+        covered[r.doc_id][r.start : r.start + r.length] = b"\1" * r.length
+    for (_, n), places in at.items():
+        strings = {raw[i][s : s + n] for i, s in places}
+        assert len(strings) == 1 and len(next(iter(strings))) == n >= 200 and len(places) == len(set(places)) > 1
+        found = {(i, s) for i, b in raw.items() for s in range(len(b) - n + 1) if b[s : s + n] in strings}
+        assert set(places) <= found
+    assert [bytes(covered[i]) for i in raw] == [bytes(x) for x in cover(list(raw.values()), 200)]
+    every = [p for (_, n), places in at.items() for p in places if p[0] >= 3000]
+    assert {i for i, _ in every} == set(range(3000, 3009))
+
+
 def test_one_place_twice_is_no_repeat():
     assert list(suffix.maximal_repeats([b"abcdefghijkl", b"cdefghijkl"], [(0, 0), (0, 2)], 5)) == []
 
