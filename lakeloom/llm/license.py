@@ -17,7 +17,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(?md)^[ \t/*#;>-]*(copyright\b.*|\(c\).*|©.*|all rights reserved\.?[ \t]*)$"
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("noninfringement", "non infringement"),
-    ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("authorised", "authorized"),
+    ("organisation", "organization"), ("organisations", "organizations"), ("authorisation", "authorization"), ("favour", "favor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("authorised", "authorized"),
     ("cancelled", "canceled"), ("judgement", "judgment"), ("analogue", "analog"), ("centre", "center"), ("per cent", "percent"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("wilful", "willful"),
 ]
 
