@@ -105,7 +105,7 @@ def counted_join(left: DataFrame, right: DataFrame, keys: list[str], total: int)
 
     ``total`` is no less than the sum of ``c``, so at most 16 keys a partition can have more than their sixteenth of a partition's
     share. Those are broadcast, and the rows of ``left`` that have them stay where they are; the rest meets by shuffle. ``right`` is read
-    several times and should be a table.
+    several times and should be a table, or cheap.
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = max(1, total // (16 * parts))
@@ -130,17 +130,16 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
         return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     was, k = mark(e), 0
-    lowest = (F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ws.save(both.groupBy("u").agg(*lowest).select("u", F.least("u", "m").alias("m"), "c"), f"{name}{k}low")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
         large = counted_join(both.where("v > u"), low, ["u"], 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = ws.save(large, f"{name}{k}large")
-        low = ws.save(large.groupBy("u").agg(*lowest), f"{name}{k}least")
-        near = counted_join(large, low, ["u"], large.count()).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e_next = ws.save(low.select("u", F.col("m").alias("v")).unionByName(near).distinct(), f"{name}{k + 1}")
-        ws.drop(f"{name}{k}", f"{name}{k}low", f"{name}{k}large", f"{name}{k}least")
-        k, e, now = k + 1, e_next, mark(e_next)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        k += 1
+        e_next = ws.save(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), f"{name}{k}")
+        ws.drop(f"{name}{k - 1}")
+        e, now = e_next, mark(e_next)
         if now == was:
             break
         was = now
