@@ -36,7 +36,7 @@ class WordEncoder:
     That holds for tokenizers with the rules of ``_RULES`` only; with any other file whole texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
