@@ -95,6 +95,11 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` narrow rows, in as few partitions as a million rows each need: small tables make few files."""
+    return df.coalesce(1 + rows // 1_000_000)
+
+
 def near(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``ids``, a table of few columns, marked for broadcast while its rows, which are counted, are at most ``most``."""
     return F.broadcast(ids) if ids.count() <= most else ids
@@ -137,14 +142,14 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         k += 1
-        e_next = ws.save(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), f"{name}{k}")
+        e_next = ws.save(few_files(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), was[0]), f"{name}{k}")
         ws.drop(f"{name}{k - 1}")
         e, now = e_next, mark(e_next)
         if now == was:
             break
         was = now
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return few_files(out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), 2 * was[0])
 
 
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -36,7 +36,7 @@ class WordEncoder:
     That holds for tokenizers with the rules of ``_RULES`` only; with any other file whole texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,12 +115,13 @@ _encoders: dict[str, WordEncoder] = {}
 _turn = 0
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int) -> WordEncoder:
     """One for each worker process, so that its words serve all of the process's tasks."""
     global _turn
     _turn += 1
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].most = most
     return _encoders[path]
 
 
@@ -201,12 +202,13 @@ class Packer:
         return out
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, grain: int = 64) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, grain: int = 64, words: int = 2_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of ``tokenizer`` (a path) without special tokens, then ``end_id``. ids_crc32 is that of the
     piece's ids as little-endian unsigned 32-bit numbers. A power of two is wanted for ``capacity`` and ``grain``.
-    Sequences hold at most ``capacity`` ids; sequence_id is unique, its high bits the partition's number.
+    Sequences hold at most ``capacity`` ids; sequence_id is unique, its high bits the partition's number. A worker keeps the ids of
+    at most ``words`` different words (some 200 bytes each) and encodes them again after that.
 
     Null and empty texts are the end id alone. Rows with equal or null doc_id are packed each on its own.
     Other columns are ignored; an empty table gives no rows.
@@ -214,7 +216,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
     ship(spark)
 
     def run(it):
-        encode, end = encoder(tokenizer), np.array([end_id], np.uint32).tobytes()
+        encode, end = encoder(tokenizer, words), np.array([end_id], np.uint32).tobytes()
         packer = Packer(capacity, grain, TaskContext.get().partitionId() << 32)
 
         def rows(pieces):
