@@ -54,7 +54,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, docs, tokenizer_path())
+    return packing.pack(spark, docs, tokenizer_path(), words=700_000)  # beside what the stages before have left in memory
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_common_lines), ("near dedup", drop_near_copies), ("decontamination", drop_leaks), ("packing", pack)]
