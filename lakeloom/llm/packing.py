@@ -115,7 +115,7 @@ _encoders: dict[str, WordEncoder] = {}
 _turn = 0
 
 
-def encoder(path: str, most: int) -> WordEncoder:
+def encoder(path: str, most: int = 2_000_000) -> WordEncoder:
     """One for each worker process, so that its words serve all of the process's tasks."""
     global _turn
     _turn += 1
