@@ -125,8 +125,8 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 
     Alternates the large-star and small-star steps, each a grouped minimum and a join, until the edges stay
-    the same; then every edge is (node, smallest). Nothing is gathered on the driver but two sums a round, and the
-    edges of a node of very many stay where they are (``counted_join``).
+    the same; then every edge is (node, smallest). Nothing is gathered on the driver but two sums a round. The
+    edges of a node of very many meet in one partition of a join, which adaptive execution splits where it is large.
     Nulls and loops are ignored; an empty input gives an empty result.
     """
     e = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
@@ -137,8 +137,8 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     was, k = mark(e), 0
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        large = counted_join(both.where("v > u"), low, ["u"], 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         k += 1
